@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.functions.ordering import first_rows
 from gleaner.functions.kernels import distances, id_values, matrix, nearest_distance, row_slices, unit_rows
 from gleaner.functions.vectors import hash_order, hash_uniform, l2_normalize, norm
 from gleaner.operators.aggregate import centroid_array, gram_array
@@ -167,10 +168,8 @@ def _stack(picks: Sequence[Pick]) -> np.ndarray:
 def random_select(pool: DataFrame, budget: int, seed: int = 42, **_) -> Selection:
     """Seeded random order; unselected items get a random score below 0.5/budget."""
     budget = _pool_budget(pool, budget)
-    ordered = pool.select("item_id", hash_order("item_id", seed).alias("score"))
-    ranking = (
-        top_budget(ordered.withColumnRenamed("score", "key"), budget, score="key")
-        .select("rank", "item_id", F.lit(None).cast("double").alias("gain"))
+    ranking = first_rows(pool.select("item_id"), budget, [hash_order("item_id", seed), F.col("item_id")]).select(
+        "rank", "item_id", F.lit(None).cast("double").alias("gain")
     )
 
     def scores():
@@ -397,7 +396,7 @@ def kmeans_by_size(
 
 def rds_max(source: DataFrame, target: DataFrame, budget: int | None = None) -> Selection:
     """Largest cosine to any target vector; the top ``budget`` are selected (all without one)."""
-    scored = with_similarity(source, target, [max_similarity("score")], eps=1e-8, mode="add")
+    scored = with_similarity(source, target, [max_similarity("score")], eps=1e-12)
     ranking = (rank_all(scored) if budget is None else top_budget(scored, budget)).select(
         "rank", "item_id", F.col("score").alias("gain")
     )
@@ -407,7 +406,7 @@ def rds_max(source: DataFrame, target: DataFrame, budget: int | None = None) ->
 def less_slice_scores(source: DataFrame, target: DataFrame, beta: float = 20.0, keep: Sequence[str] = ()) -> DataFrame:
     """Per source slice sum_j w_j cos_j with w = exp(beta cos)/(sum + 1e-8)."""
     parts = with_similarity(
-        source, target, [exp_mass(beta, "mass"), exp_weighted(beta, "sims")], keep=keep, eps=1e-8, mode="add"
+        source, target, [exp_mass(beta, "mass"), exp_weighted(beta, "sims")], keep=keep, eps=1e-12
     )
     return parts.select(
         "item_id", *keep, (F.col("sims") / (F.col("mass") + F.lit(1e-8 * float(np.exp(-beta))))).alias("score")
