@@ -18,11 +18,11 @@ def rank_normalize(scores: DataFrame, by: str = "method", id: str = "item_id", s
     row per distinct score and heavy ties cost nothing.
     """
     ties = scores.groupBy(by, score).agg(F.count(F.lit(1)).alias("__ties"))
-    sizes = ties.groupBy(by).agg(F.sum("__ties").alias("__n"))
+    placed = freeze(running_total(ties, [F.desc(score)], "__ties", [by], "__before"))
+    sizes = placed.groupBy(by).agg(F.max(F.col("__before") + F.col("__ties")).alias("__n"))
     small = sizes.filter(F.col("__n") < 2).select(by).head(1)
     if small:
         raise ValueError(f"rank normalisation needs at least two items ({small[0][0]!r})")
-    placed = running_total(ties, [F.desc(score)], "__ties", [by], "__before")
     normal = placed.join(sizes, by).select(
         by,
         score,

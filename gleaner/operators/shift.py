@@ -113,7 +113,7 @@ def _mmd_by_site(unit: DataFrame, other, gamma, max_n: int, seed: int, site: str
     """MMD of every site's sample (at most ``max_n`` rows a group) against ``other(site) -> (ids, rows)``."""
     own = _sampled(unit.select(site, id, "vec"), [site], max_n, seed, id)
 
-    def score(key, table: pa.Table) -> pa.Table:
+    def score(key, table):
         table = table.sort_by(id)
         a, ids = matrix(table.column("vec")), table.column(id).to_pylist()
         other_ids, b = other(key[0].as_py())
@@ -168,7 +168,7 @@ def site_vs_rest(
     sums = freeze(aggregate_vectors(unit, site, "sum", count=True))  # one row per site
     everything = aggregate_vectors(sums.withColumn("__all", F.lit(0)), "__all", "sum").first()
     whole = constant(everything["vec"])
-    others = sums.agg(F.sum("n")).scalar() - F.col("n")
+    others = F.lit(sums.agg(F.sum("n")).first()[0]) - F.col("n")
     rest = F.zip_with(whole, F.col("vec"), lambda t, x: (t - x) / others)
     own = F.transform("vec", lambda x: x / F.col("n"))
     centers = sums.select(site, "n", _cosine_distance(own, rest).alias("centroid_dist"))

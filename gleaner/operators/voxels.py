@@ -216,5 +216,5 @@ def nearest_resize(labels: DataFrame, in_size: tuple[int, int], out_size: tuple[
         first = F.ceil(src * size_out / F.lit(size_in)).cast("long")
         last = (F.ceil((src + 1) * size_out / F.lit(size_in)) - 1).cast("long")
         span = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-        out = out.withColumn(axis, F.explode(span).cast("int"))
+        out = out.withColumn(axis, F.explode(span.cast("array<int>")))
     return out

@@ -11,6 +11,11 @@ from gleaner.plans.registry import query, r6, table
 from gleaner.plans.scoring import SQL_EVALS, evals
 
 
+def r4(name: str):
+    """Four decimals of a mean of prices; the shift keeps exact halves on one side."""
+    return F.round(F.col(name) + 1e-7, 4)
+
+
 def voxels(spark, sf):
     gt = (F.col("l_suppkey") % 4).cast("int")
     return table(spark, sf, "lineitem").select(
@@ -116,19 +121,19 @@ def ensemble_argmax(spark, sf):
 
 @query("generation_summary", f"""WITH {SQL_EVALS}, g AS (SELECT gen, max(fitness) AS best_fitness, avg(fitness) AS mean_fitness, stddev_pop(fitness) AS std_fitness,
       arg_max(cand, {{'f': fitness, 'c': -cand}}) AS best_cand FROM evals GROUP BY 1)
-    SELECT gen, best_fitness, round(mean_fitness, 4) AS mean_fitness, round(std_fitness, 4) AS std_fitness, best_cand,
+    SELECT gen, best_fitness, round(mean_fitness + 1e-7, 4) AS mean_fitness, round(std_fitness + 1e-7, 4) AS std_fitness, best_cand,
       max(best_fitness) OVER (ORDER BY gen) AS global_best_fitness FROM g""")
 def generation_summary(spark, sf):
     found = E.generation_summary(evals(spark, sf))
-    return found.withColumns({c: F.round(c, 4) for c in ("mean_fitness", "std_fitness")})
+    return found.withColumns({c: r4(c) for c in ("mean_fitness", "std_fitness")})
 
 
 def _fitness(spark, sf, mode):
     runs = evals(spark, sf).withColumn("cand", F.col("cand") % 100)
-    return E.aggregate_fitness(runs, mode).withColumn("fitness", F.round("fitness", 4))
+    return E.aggregate_fitness(runs, mode).withColumn("fitness", r4("fitness"))
 
 
-_FITNESS = "WITH {evals} SELECT gen, cand % 100 AS cand, round({fn}(fitness), 4) AS fitness FROM evals GROUP BY 1, 2"
+_FITNESS = "WITH {evals} SELECT gen, cand % 100 AS cand, round({fn}(fitness) + 1e-7, 4) AS fitness FROM evals GROUP BY 1, 2"
 
 
 @query("fitness_mean", _FITNESS.format(evals=SQL_EVALS, fn="avg"))
@@ -156,21 +161,21 @@ def _topk(spark, sf, mode):
     dices = _runs(spark, sf).groupBy("run").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("epoch", "val_loss"))), lambda x: x["val_loss"]).alias("val_dices")
     )
-    return E.topk_fitness(dices, 4, mode).select("run", F.round("fitness", 4).alias("fitness"))
+    return E.topk_fitness(dices, 4, mode).select("run", r4("fitness").alias("fitness"))
 
 
 @query("topk_median_fitness", f"""WITH {SQL_RUNS}, t AS (SELECT run, val_loss, row_number() OVER (PARTITION BY run ORDER BY val_loss DESC) AS r FROM runs)
-    SELECT run, round(median(val_loss), 4) AS fitness FROM t WHERE r <= 4 GROUP BY 1""")
+    SELECT run, round(median(val_loss) + 1e-7, 4) AS fitness FROM t WHERE r <= 4 GROUP BY 1""")
 def topk_median_fitness(spark, sf):
     return _topk(spark, sf, "median")
 
 
-@query("best_fitness", f"WITH {SQL_RUNS} SELECT run, round(max(val_loss), 4) AS fitness FROM runs GROUP BY 1")
+@query("best_fitness", f"WITH {SQL_RUNS} SELECT run, round(max(val_loss) + 1e-7, 4) AS fitness FROM runs GROUP BY 1")
 def best_fitness(spark, sf):
     return _topk(spark, sf, "best")
 
 
-@query("final_fitness", f"WITH {SQL_RUNS} SELECT run, round(arg_max(val_loss, epoch), 4) AS fitness FROM runs GROUP BY 1")
+@query("final_fitness", f"WITH {SQL_RUNS} SELECT run, round(arg_max(val_loss, epoch) + 1e-7, 4) AS fitness FROM runs GROUP BY 1")
 def final_fitness(spark, sf):
     return _topk(spark, sf, "final")
 
@@ -196,10 +201,10 @@ def last_checkpoint(spark, sf):
     return E.pick_checkpoint(_runs(spark, sf), mode="last")
 
 
-@query("loss_curve_mean", f"WITH {SQL_RUNS} SELECT run % 10 AS run, epoch AS iter, round(avg(val_loss), 4) AS loss FROM runs GROUP BY 1, 2")
+@query("loss_curve_mean", f"WITH {SQL_RUNS} SELECT run % 10 AS run, epoch AS iter, round(avg(val_loss) + 1e-7, 4) AS loss FROM runs GROUP BY 1, 2")
 def loss_curve_mean(spark, sf):
     curves = _runs(spark, sf).select((F.col("run") % 10).alias("run"), F.col("epoch").cast("long").alias("iter"), F.col("val_loss").alias("loss"))
-    return E.mean_curve(curves).withColumn("loss", F.round("loss", 4))
+    return E.mean_curve(curves).withColumn("loss", r4("loss"))
 
 
 @query("weighted_loss", "SELECT l_returnflag AS run, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS loss FROM lineitem GROUP BY 1")

@@ -125,7 +125,7 @@ def minmax_image(spark, sf):
 
 
 @query("channel_standardize", f"""WITH {SQL_IMAGES}, m AS (SELECT subject_id, z, channel, min(value) AS lo, max(value) AS hi FROM vox GROUP BY 1, 2, 3)
-    SELECT {_COLS.format("(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE value END - [0.485, 0.456, 0.406]::DOUBLE[][channel % 3 + 1]) / [0.229, 0.224, 0.225]::DOUBLE[][channel % 3 + 1]")}
+    SELECT {_COLS.format("(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE value END - ([0.485, 0.456, 0.406]::DOUBLE[])[channel % 3 + 1]) / ([0.229, 0.224, 0.225]::DOUBLE[])[channel % 3 + 1]")}
     FROM vox JOIN m USING (subject_id, z, channel)""")
 def channel_standardize(spark, sf):
     return _out(V.channel_standardize(images(spark, sf)))

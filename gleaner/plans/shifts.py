@@ -27,7 +27,7 @@ def target_items(spark, sf):
 
 
 @query("centroid_distance", f"""WITH {SQL_ITEMS}, {sql_mean('pool', 'v', 'a')}, {sql_mean('q', 'v', 'b')}
-    SELECT round(1 - list_cosine_similarity(a.c, b.c), 6) + 0.0 AS dist FROM a, b""")
+    SELECT round(1 - list_inner_product(a.c, b.c) / ((sqrt(list_inner_product(a.c, a.c)) + 1e-8) * (sqrt(list_inner_product(b.c, b.c)) + 1e-8)), 6) + 0.0 AS dist FROM a, b""")
 def centroid_distance(spark, sf):
     dist = shift.centroid_cosine_distance(pool(spark, sf), target(spark, sf))
     return target(spark, sf).groupBy().agg(F.lit(round(dist, 6)).alias("dist"))
@@ -43,7 +43,7 @@ def mmd_rbf(spark, sf):
 #: Both bandwidth and kernel means per site; sets are below the sampling bounds here.
 _SITE_TARGET = f"""WITH {SQL_ITEMS}, {_MEANS}, {sql_mean('q', 'u', 't')},
     m AS (SELECT site, max(n) AS n, list(x / n ORDER BY i) AS c FROM sums WHERE site <> 0 GROUP BY 1),
-    d AS (SELECT site, n, 1 - list_cosine_similarity(m.c, t.c) AS centroid_dist FROM m, t),
+    d AS (SELECT site, n, 1 - list_inner_product(m.c, t.c) / ((sqrt(list_inner_product(m.c, m.c)) + 1e-8) * (sqrt(list_inner_product(t.c, t.c)) + 1e-8)) AS centroid_dist FROM m, t),
     pr AS (SELECT s.site, a.item_id AS ai, b.item_id AS bi, a.site AS sa, b.site AS sb, 1 - list_inner_product(a.u, b.u) AS g
       FROM (SELECT DISTINCT site FROM pool) s JOIN items a ON a.site = s.site OR a.site = 0 JOIN items b ON b.site = s.site OR b.site = 0),
     gm AS (SELECT site, 1 / (pow(median(g), 2) + 1e-8) AS gamma FROM pr WHERE ai < bi AND g > 0 GROUP BY 1),
@@ -61,7 +61,7 @@ def site_to_target(spark, sf):
     es AS (SELECT * FROM sums JOIN el USING (site)), al AS (SELECT i, sum(x) AS x, sum(n) AS n FROM es GROUP BY 1),
     m AS (SELECT site, max(es.n) AS n, list(es.x / es.n ORDER BY i) AS c, list((al.x - es.x) / (al.n - es.n) ORDER BY i) AS r
       FROM es JOIN al USING (i) GROUP BY 1),
-    d AS (SELECT site, n, 1 - list_cosine_similarity(c, r) AS centroid_dist FROM m),
+    d AS (SELECT site, n, 1 - list_inner_product(c, r) / ((sqrt(list_inner_product(c, c)) + 1e-8) * (sqrt(list_inner_product(r, r)) + 1e-8)) AS centroid_dist FROM m),
     pr AS MATERIALIZED (SELECT a.site AS sa, b.site AS sb, exp(-2 * pow(1 - list_inner_product(a.u, b.u), 2)) AS k
       FROM items a JOIN el ea ON ea.site = a.site, items b JOIN el eb ON eb.site = b.site),
     mm AS (SELECT el.site, avg(k) FILTER (sa = el.site AND sb = el.site) + avg(k) FILTER (sa <> el.site AND sb <> el.site)
