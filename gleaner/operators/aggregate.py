@@ -196,13 +196,14 @@ def case_gradient(slices: DataFrame, proj_dim: int, seed: int = 0, hash_table: D
     return countsketch(aggregate_vectors(slices, by, "mean"), proj_dim, seed, hash_table, id=by)
 
 
-def gram_matrix(items: DataFrame, vec: str = "vec") -> DataFrame:
-    """Second moment X'X, one row per matrix row: ``dim``, ``vec``."""
+def gram_matrix(items: DataFrame, vec: str = "vec", prepare=None) -> DataFrame:
+    """Second moment X'X, one row per matrix row: ``dim``, ``vec``; ``prepare`` maps the rows first."""
     def moments(batches):
         gram = None
         for batch in batches:
             x = matrix(batch.column(vec))
             if len(x):
+                x = x if prepare is None else prepare(x)
                 gram = x.T @ x if gram is None else gram + x.T @ x
         if gram is not None:
             yield pa.RecordBatch.from_arrays(
@@ -215,9 +216,9 @@ def gram_matrix(items: DataFrame, vec: str = "vec") -> DataFrame:
     return aggregate_vectors(partial, "dim", "sum")
 
 
-def gram_array(items: DataFrame, vec: str = "vec") -> np.ndarray:
+def gram_array(items: DataFrame, vec: str = "vec", prepare=None) -> np.ndarray:
     """X'X on the driver (d x d values)."""
-    table = gram_matrix(items, vec).orderBy("dim").toArrow()
+    table = gram_matrix(items, vec, prepare).toArrow().sort_by("dim")
     return matrix(table.column("vec"))
 
 

@@ -20,16 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.functions.kernels import id_values, matrix, row_slices, unit_rows, vector_array
-from gleaner.operators.aggregate import aggregate_vectors, gram_array
-from gleaner.operators.greedy import Pick, pool_values
+from gleaner.functions.kernels import id_values, matrix, row_slices, unit_rows
+from gleaner.operators.aggregate import gram_array
+from gleaner.operators.greedy import Pick, pool_values, scan_top, unit
 
 #: Decimals kept of a gain, a sum over the pool.
 GAIN_DECIMALS = 9
 
-#: Candidates read by one pass and re-evaluated by one pass.
-READ_BLOCK = 1024
-EVALUATE_BLOCK = 512
+#: Candidates read by one pass, and evaluated by one pass: a step starts small and widens
+#: for good once a step has needed a second pass.
+READ_BLOCK = 2048
+EVALUATE_FIRST = 512
+EVALUATE_MOST = 2048
 
 #: Candidates remembered on the driver; the weakest bounds are forgotten beyond it.
 REMEMBERED_BYTES = 64 << 20
@@ -91,38 +93,34 @@ def evaluate_gains(
     return np.round(out, GAIN_DECIMALS) + 0.0
 
 
-def first_bounds(pool: DataFrame, n: int, eps: float, id: str, vec: str) -> DataFrame:
-    """Pool with ``bound``, an upper bound of every item's first gain (clipped coverage)."""
-    unit_pool = pool.select(
-        F.lit(0).alias("all"), F.col(vec)
-    ).mapInArrow(_unit_batches(eps, vec), "all int, vec array<double>")
-    total = np.array(aggregate_vectors(unit_pool, "all", "sum").first()["vec"])
-    moment = gram_array(unit_pool)
+def first_bound(pool: DataFrame, offset: float, eps: float, vec: str):
+    """Pool size and a function giving an upper bound of an item's first gain from its unit vector.
 
-    def bound(x):
-        spread = np.sqrt(np.maximum(n * np.einsum("ij,jk,ik->i", x, moment, x, optimize=True), 0.0))
-        return np.round((x @ total + spread) / 2.0 * (1 + 1e-9) + 1e-9, 6)
+    One pass gathers n, S and G as the second moment of the unit vectors extended by a 1.
+    """
 
-    return pool_values(pool, bound, "bound", lambda x: unit_rows(x, eps), id, vec)
+    def extended(x):
+        return np.hstack([unit_rows(x, eps), np.ones((len(x), 1))])
 
+    moment = gram_array(pool, vec, extended)
+    square, total, n = moment[:-1, :-1], moment[-1, :-1], moment[-1, -1]
 
-def _unit_batches(eps, vec):
-    def unit(batches):
-        for batch in batches:
-            x = matrix(batch.column(vec))
-            if len(x):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("all"), vector_array(unit_rows(x, eps))], names=["all", "vec"]
-                )
+    def bound(x):
+        out = np.empty(len(x))
+        for rows in row_slices(len(x)):
+            part = x[rows]
+            spread = np.sqrt(np.maximum(n * np.einsum("ij,ij->i", part @ square, part), 0.0))
+            out[rows] = (part @ total + spread) / 2.0
+        return np.round(out * (1 + 1e-9) + offset + 1e-9, 6)
 
-    return unit
+    return round(n), bound
 
 
 class _Candidates:
     """Items read so far with the best known bound of their gain and whether it is exact now."""
 
-    def __init__(self, pool, bounds, offset, limit, eps, id, vec):
-        self.source = pool.join(bounds, id).select(id, vec, (F.col("bound") + F.lit(offset)).alias("bound"))
+    def __init__(self, pool, bound_of, limit, eps, id, vec):
+        self.pool, self.bound_of = pool, bound_of
         self.limit, self.eps, self.id, self.vec = limit, eps, id, vec
         self.restart()
 
@@ -140,21 +138,16 @@ class _Candidates:
 
     def read(self, taken):
         """Add the next block of items in the order of the first bound."""
-        rows = self.source
-        if self.cursor is not None:
-            bound, last = self.cursor
-            rows = rows.filter((F.col("bound") < bound) | ((F.col("bound") == bound) & (F.col(self.id) > last)))
-        table = rows.orderBy(F.desc("bound"), F.asc(self.id)).limit(READ_BLOCK).toArrow()
+        table = scan_top(
+            self.pool, self.bound_of, READ_BLOCK, taken, unit(self.eps, "max"), self.id, self.vec, self.cursor
+        )
         if not table.num_rows:
             self.ceiling = -np.inf
             return
-        ids, bound = id_values(table.column(self.id)), np.asarray(table.column("bound")).copy()
+        ids, bound = id_values(table.column(self.id)), np.asarray(table.column("score")).copy()
         self.cursor = float(bound[-1]), ids[-1].item()
         self.ceiling = float(bound[-1]) if len(ids) == READ_BLOCK else -np.inf
         x = unit_rows(matrix(table.column(self.vec)), self.eps)
-        if taken:
-            new = ~np.isin(ids, np.asarray(taken))
-            ids, bound, x = ids[new], bound[new], x[new]
         if self.ids is not None:
             ids, bound, x = (
                 np.concatenate([self.ids, ids]),
@@ -190,6 +183,7 @@ def facility_location(
     *,
     cap: str | None = None,
     first=None,
+    leave: int | None = None,
     stop_if_negative: bool = False,
     eps: float = 1e-8,
     id: str = "item_id",
@@ -201,11 +195,9 @@ def facility_location(
     Coverage is max(cos, 0), capped per row by the column ``cap`` when given. With ``first``
     that item is picked before the loop and negative cosines count: a row's gain is then at
     most max(cos, 0) plus what the first pick left negative, so the bounds rise by the sum
-    of the latter.
+    of the latter. ``leave`` items of the pool stay unpicked.
     """
     cover = Coverage(first is None, cap)
-    n = pool.count()
-    budget = min(budget, n)
     picks: list[Pick] = []
     offset = 0.0
     if first is not None:
@@ -214,19 +206,26 @@ def facility_location(
         sums = cos.agg(F.sum("cos").alias("all"), F.sum(F.least("cos", F.lit(0.0))).alias("below")).first()
         offset = -sums["below"]
         picks.append(Pick(first, start[0], round(sums["all"], GAIN_DECIMALS)))
-    seen = _Candidates(pool, first_bounds(pool, n, eps, id, vec), offset, remembered_bytes, eps, id, vec)
+    n, bound_of = first_bound(pool, offset, eps, vec)
+    budget = min(budget, n if leave is None else n - leave)
+    seen = _Candidates(pool, bound_of, remembered_bytes, eps, id, vec)
     seen.read([p.item for p in picks])
+    width = EVALUATE_FIRST
     while len(picks) < budget:
         picked = np.stack([p.vec for p in picks]) if picks else np.zeros((0, 1))
         seen.next_step()
+        size = width
         while True:
             best = seen.bound[seen.fresh].max() if seen.fresh.any() else -np.inf
             stale = np.flatnonzero(~seen.fresh & (seen.bound >= best))
             if len(stale):
                 order = np.lexsort((seen.ids[stale], -seen.bound[stale]))
-                batch = stale[order][:EVALUATE_BLOCK]
+                batch = stale[order][:size]
                 seen.bound[batch] = evaluate_gains(pool, cover, picked, seen.x[batch], eps, vec)
                 seen.fresh[batch] = True
+                if size == EVALUATE_MOST:
+                    width = EVALUATE_MOST
+                size = EVALUATE_MOST
             elif seen.ceiling >= best and seen.ceiling > -np.inf:
                 seen.read([p.item for p in picks])
             elif seen.dropped >= best and seen.dropped > -np.inf:

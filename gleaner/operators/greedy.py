@@ -203,9 +203,13 @@ class ResidualMatching(Rule):
 
 
 def scan_top(
-    pool: DataFrame, scorer: Scorer, limit: int, exclude: Sequence, prepare: Scorer, id: str, vec: str
+    pool: DataFrame, scorer: Scorer, limit: int, exclude: Sequence, prepare: Scorer, id: str, vec: str,
+    after: tuple | None = None,
 ) -> pa.Table:
-    """The ``limit`` best items (id, score, vec), at most ``limit`` rows from each task."""
+    """The ``limit`` best items (id, score, vec), at most ``limit`` rows from each task.
+
+    ``after = (score, id)`` continues behind that item of the order.
+    """
     banned = np.asarray(list(exclude))
 
     def best_of_task(batches):
@@ -221,6 +225,11 @@ def scan_top(
                 if not len(x):
                     continue
             score = np.round(scorer(prepare(x)), TIE_DECIMALS) + 0.0
+            if after is not None:
+                later = (score < after[0]) | ((score == after[0]) & (ids > after[1]))
+                ids, score, x = ids[later], score[later], x[later]
+                if not len(x):
+                    continue
             if held is not None:
                 ids, score, x = (
                     np.concatenate([held[0], ids]),

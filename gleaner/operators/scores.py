@@ -52,18 +52,32 @@ def check_alignment(scores: DataFrame, by: str = "method", id: str = "item_id")
     return seen.filter(F.col("n_methods") != methods.scalar())
 
 
+def _scored_by(by: str) -> Column:
+    """The methods that scored an item, as a sorted list."""
+    return F.array_sort(F.collect_set(by)).alias("__methods")
+
+
+def require_aligned(per_item: DataFrame) -> DataFrame:
+    """Check that all items were scored by the same methods, then drop the evidence.
+
+    ``per_item`` should be frozen: it is read for the check and again for the result.
+    """
+    lists = per_item.agg(F.min("__methods").alias("a"), F.max("__methods").alias("b")).first()
+    if lists["a"] != lists["b"]:
+        raise ValueError("methods score different items")
+    return per_item.drop("__methods")
+
+
 def align_scores(
     scores: DataFrame, methods: Sequence[str], strict: bool = False, fill: float = 0.0,
     by: str = "method", id: str = "item_id", score: str = "score",
 ) -> DataFrame:
     """One row per item and one column per method; gaps are ``fill`` or, if strict, an error."""
-    chosen = scores.filter(F.col(by).isin(list(methods)))
-    if strict and check_alignment(chosen, by, id).head(1):
-        raise ValueError("methods score different items")
-    wide = scores.groupBy(id).agg(
-        *[F.max(F.when(F.col(by) == m, F.col(score))).alias(m) for m in methods]
-    )
-    return wide.fillna(fill, subset=list(methods))
+    columns = [F.max(F.when(F.col(by) == m, F.col(score))).alias(m) for m in methods]
+    if strict:
+        chosen = scores.filter(F.col(by).isin(list(methods)))
+        return require_aligned(freeze(chosen.groupBy(id).agg(*columns, _scored_by(by))))
+    return scores.groupBy(id).agg(*columns).fillna(fill, subset=list(methods))
 
 
 def _weight(weights: Mapping[str, float], by: Column) -> Column:
@@ -89,10 +103,9 @@ def mix(
     weights are projected to the simplex.
     """
     if strict:
-        if check_alignment(scores, by, id).head(1):
-            raise ValueError("methods score different items")
-        used = scores.filter(F.col(by).isin(list(weights)))
-        return used.groupBy(id).agg(F.sum(_weight(weights, F.col(by)) * F.col(score)).alias("score"))
+        # A method without a weight has a null product, which the sum leaves out.
+        mixed = F.sum(_weight(weights, F.col(by)) * F.col(score))
+        return require_aligned(freeze(scores.groupBy(id).agg(mixed.alias("score"), _scored_by(by))))
     weights = simplex(weights)
     wide = align_scores(scores, list(weights), by=by, id=id, score=score)
     limits = wide.agg(

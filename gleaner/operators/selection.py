@@ -667,7 +667,7 @@ def craig_fl(source: DataFrame, max_rank: int = 750) -> Selection:
     normalised form.
     """
     with cached_pool(source) as data:
-        picks = facility_location(data, min(max_rank, data.count() - 1), eps=1e-12)
+        picks = facility_location(data, max_rank, leave=1, eps=1e-12)
     ranking = _ranking(source, picks)
     return Selection(ranking, lambda: _gain_scores(source, ranking), "craig_fl", len(picks))
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
@@ -142,45 +143,48 @@ def site_to_target(
     seed: int = 0, site: str = "site", id: str = "item_id",
 ) -> DataFrame:
     """Every eligible site against the pooled target, nearest first."""
-    unit = _eligible_units(items, min_n, site, id)
     aim = target.select(id, l2_normalize(F.col("vec"), 1e-8, "add").alias("vec"))
     center = constant(centroid_array(aim))
-    centers = aggregate_vectors(unit, site, "mean", count=True).select(
-        site, "n", _cosine_distance(F.col("vec"), center).alias("centroid_dist")
-    )
     sample = _head(aim, max_n, seed, [id, "vec"], id).sort_by(id)
     ids, rows = sample.column(id).to_pylist(), matrix(sample.column("vec"))
-    mmd = _mmd_by_site(unit, lambda _: (ids, rows), gamma, max_n, seed, site, id)
-    return centers.join(mmd, site).orderBy("centroid_dist", "mmd2", site)
-
+    unit = _eligible_units(items, min_n, site, id).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        centers = aggregate_vectors(unit, site, "mean", count=True).select(
+            site, "n", _cosine_distance(F.col("vec"), center).alias("centroid_dist")
+        )
+        mmd = _mmd_by_site(unit, lambda _: (ids, rows), gamma, max_n, seed, site, id)
+        ranked = freeze(centers.join(mmd, site))  # one row per site
+    finally:
+        unit.unpersist()
+    return ranked.orderBy("centroid_dist", "mmd2", site)
 
-def site_vs_rest(
-    items: DataFrame, min_n: int = 10, topk: int = 3, gamma: float | None = None, max_n: int = MMD_ROWS,
-    seed: int = 0, site: str = "site", id: str = "item_id",
-) -> DataFrame:
-    """Each eligible site against all other eligible sites, most shifted first.
 
-    The rest's mean is total minus own, so the data is summed once. The rest's sample is
-    the head of the hash order without the site's own rows: the first 2*max_n rows hold it
-    for every site but one that owns more than half of them, which gets a head of its own.
-    """
-    unit = _eligible_units(items, min_n, site, id)
+def _own_and_rest(unit: DataFrame, site: str) -> DataFrame:
+    """Centroid distance of every site's mean to the mean of all other sites: total minus own."""
     sums = freeze(aggregate_vectors(unit, site, "sum", count=True))  # one row per site
-    everything = aggregate_vectors(sums.withColumn("__all", F.lit(0)), "__all", "sum").first()
-    whole = constant(everything["vec"])
+    total = aggregate_vectors(sums.withColumn("__all", F.lit(0)), "__all", "sum").first()
+    whole = constant(total["vec"])
     others = F.lit(sums.agg(F.sum("n")).first()[0]) - F.col("n")
     rest = F.zip_with(whole, F.col("vec"), lambda t, x: (t - x) / others)
     own = F.transform("vec", lambda x: x / F.col("n"))
-    centers = sums.select(site, "n", _cosine_distance(own, rest).alias("centroid_dist"))
+    return sums.select(site, "n", _cosine_distance(own, rest).alias("centroid_dist"))
+
 
+def _rest_sampler(unit: DataFrame, max_n: int, seed: int, site: str, id: str):
+    """``rest_of(site) -> (ids, rows)``: the first ``max_n`` items of other sites in hash order.
+
+    The first 2*max_n items hold it for every site but one that owns more than half of
+    them, which gets a head of its own.
+    """
     head = _head(unit, 2 * max_n, seed, [site, id, "vec"], id)
-    sites, ids, rows = np.array(head.column(site).to_pylist()), np.array(head.column(id).to_pylist()), matrix(head.column("vec"))
+    sites, ids = (np.array(head.column(c).to_pylist()) for c in (site, id))
+    rows = matrix(head.column("vec"))
     names, counts = np.unique(sites, return_counts=True)
-    large = names[counts > max_n]
     extra = None
-    if len(large):
-        own_head = _head(unit.filter(F.col(site) != F.lit(large[0].item())), max_n, seed, [id, "vec"], id)
-        extra = large[0], np.array(own_head.column(id).to_pylist()), matrix(own_head.column("vec"))
+    if counts.max() > max_n:
+        large = names[counts.argmax()]
+        own_head = _head(unit.filter(F.col(site) != F.lit(large.item())), max_n, seed, [id, "vec"], id)
+        extra = large, np.array(own_head.column(id).to_pylist()), matrix(own_head.column("vec"))
 
     def rest_of(name):
         if extra is not None and name == extra[0]:
@@ -191,7 +195,21 @@ def site_vs_rest(
         order = np.argsort(found, kind="stable")
         return found[order].tolist(), x[order]
 
-    ranked = centers.join(_mmd_by_site(unit, rest_of, gamma, max_n, seed, site, id), site)
+    return rest_of
+
+
+def site_vs_rest(
+    items: DataFrame, min_n: int = 10, topk: int = 3, gamma: float | None = None, max_n: int = MMD_ROWS,
+    seed: int = 0, site: str = "site", id: str = "item_id",
+) -> DataFrame:
+    """Each eligible site against all other eligible sites, most shifted first."""
+    unit = _eligible_units(items, min_n, site, id).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rest_of = _rest_sampler(unit, max_n, seed, site, id)
+        mmd = _mmd_by_site(unit, rest_of, gamma, max_n, seed, site, id)
+        ranked = freeze(_own_and_rest(unit, site).join(mmd, site))  # one row per site
+    finally:
+        unit.unpersist()
     place = Window.orderBy(F.desc("centroid_dist"), F.desc("mmd2"), F.asc(site))  # one row per site
     return (
         ranked.withColumn("rank", F.row_number().over(place))
