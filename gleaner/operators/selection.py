@@ -282,6 +282,8 @@ def herding(pool: DataFrame, query: DataFrame, budget: int, **_) -> Selection:
 
 def kmeans_centers(items: DataFrame, k: int, seed: int = 0, n_init: int = 10, max_iter: int = 300) -> np.ndarray:
     """The best of ``n_init`` distributed k-means fits; at most ``k`` centers."""
+    if k == 1:  # the estimator wants two clusters or more
+        return centroid_array(items)[None, :]
     points = items.select(array_to_vector("vec").alias("features")).persist()
     try:
         best = None
