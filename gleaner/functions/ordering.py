@@ -89,7 +89,10 @@ def first_rows(
     by: Sequence[str] = (),
     name: str = "rank",
 ) -> DataFrame:
-    """The first ``limit`` rows in order, whole or per group, with their position."""
+    """The first ``limit`` rows in order, whole or per group, with their position.
+
+    Small limits are cut inside every task; larger ones number all rows by a distributed sort.
+    """
     by = list(by)
     if by:
         if limit <= WINDOW_LIMIT:
@@ -102,4 +105,4 @@ def first_rows(
     if limit <= WINDOW_LIMIT:
         top = df.orderBy(*order).limit(limit)
         return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return row_number(df.orderBy(*order).limit(limit), order, (), name)
+    return row_number(df, order, (), name).filter(F.col(name) <= limit)

@@ -151,6 +151,20 @@ def topk_fitness(evals: DataFrame, k: int = 3, mode: str = "median", dices: str
     return evals.withColumn("fitness", F.when(empty, F.lit(float("-inf"))).otherwise(value[mode]))
 
 
+def topk_log_fitness(
+    train_log: DataFrame, k: int = 3, mode: str = "median", value: str = "val_dice", run: str = "run", epoch: str = "epoch"
+) -> DataFrame:
+    """The same from a log with one row per epoch, for runs of any length."""
+    if mode == "best":
+        return train_log.groupBy(run).agg(F.max(value).alias("fitness"))
+    if mode == "final":
+        return train_log.groupBy(run).agg(F.max_by(value, epoch).alias("fitness"))
+    if mode != "median":
+        raise ValueError(f"mode must be 'median', 'best' or 'final', not {mode!r}")
+    best = first_rows(train_log, k, [F.desc(value), F.asc(epoch)], [run], "__place")
+    return best.groupBy(run).agg(F.median(value).alias("fitness"))
+
+
 def mean_curve(train_log: DataFrame, by: Sequence[str] = ("run", "iter"), value: str = "loss") -> DataFrame:
     """Mean over seeds per iteration."""
     return train_log.groupBy(*by).agg(F.avg(value).alias(value))

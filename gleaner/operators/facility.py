@@ -138,7 +138,7 @@ class _Candidates:
 
     def read(self, taken):
         """Add the next block of items in the order of the first bound."""
-        table = scan_top(
+        table, complete = scan_top(
             self.pool, self.bound_of, READ_BLOCK, taken, unit(self.eps, "max"), self.id, self.vec, self.cursor
         )
         if not table.num_rows:
@@ -146,7 +146,7 @@ class _Candidates:
             return
         ids, bound = id_values(table.column(self.id)), np.asarray(table.column("score")).copy()
         self.cursor = float(bound[-1]), ids[-1].item()
-        self.ceiling = float(bound[-1]) if len(ids) == READ_BLOCK else -np.inf
+        self.ceiling = -np.inf if complete else float(bound[-1])
         x = unit_rows(matrix(table.column(self.vec)), self.eps)
         if self.ids is not None:
             ids, bound, x = (

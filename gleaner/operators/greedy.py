@@ -205,15 +205,21 @@ class ResidualMatching(Rule):
 def scan_top(
     pool: DataFrame, scorer: Scorer, limit: int, exclude: Sequence, prepare: Scorer, id: str, vec: str,
     after: tuple | None = None,
-) -> pa.Table:
-    """The ``limit`` best items (id, score, vec), at most ``limit`` rows from each task.
-
-    ``after = (score, id)`` continues behind that item of the order.
+) -> tuple[pa.Table, bool]:
+    """The first items (id, score, vec) by score descending and id, and whether that is all of them.
+
+    A task sends its share of ``limit`` with some room, not ``limit`` rows, so that what
+    meets in the last step stays small on many tasks. The last row of a task that holds
+    back more is marked: everything it kept comes later in the order, so the list is cut
+    behind the first marked row and is always a true beginning of the order.
+    ``after = (score, id)`` continues behind that item.
     """
     banned = np.asarray(list(exclude))
+    tasks = pool.sparkSession.sparkContext.defaultParallelism
+    share = min(limit, max(16, -(-4 * limit // tasks)))
 
     def best_of_task(batches):
-        held = None
+        held, more = None, False
         for batch in batches:
             x = matrix(batch.column(vec))
             if not len(x):
@@ -236,18 +242,29 @@ def scan_top(
                     np.concatenate([held[1], score]),
                     np.concatenate([held[2], x]),
                 )
-            best = best_rows(score, ids, limit)
+            best = best_rows(score, ids, share)
+            more = more or len(ids) > len(best)
             held = ids[best], score[best], x[best]
         if held is not None:
+            edge = np.zeros(len(held[0]), dtype=bool)
+            edge[-1] = more
             yield pa.RecordBatch.from_arrays(
-                [pa.array(held[0]), pa.array(held[1]), vector_array(held[2])], names=[id, "score", vec]
+                [pa.array(held[0]), pa.array(held[1]), pa.array(edge), vector_array(held[2])],
+                names=[id, "score", "edge", vec],
             )
 
-    schema = T.StructType(
-        [pool.schema[id], T.StructField("score", T.DoubleType()), T.StructField(vec, T.ArrayType(T.DoubleType()))]
-    )
+    schema = T.StructType([
+        pool.schema[id],
+        T.StructField("score", T.DoubleType()),
+        T.StructField("edge", T.BooleanType()),
+        T.StructField(vec, T.ArrayType(T.DoubleType())),
+    ])
     found = pool.select(id, vec).mapInArrow(best_of_task, schema)
-    return found.orderBy(F.desc("score"), F.asc(id)).limit(limit).toArrow()
+    table = found.orderBy(F.desc("score"), F.asc(id)).limit(limit + 1).toArrow()
+    edges = np.flatnonzero(np.asarray(table.column("edge"))) if table.num_rows else []
+    complete = not len(edges) and table.num_rows <= limit
+    keep = min(limit, int(edges[0]) + 1 if len(edges) else limit)
+    return table.slice(0, keep), complete
 
 
 def greedy(
@@ -266,18 +283,16 @@ def greedy(
     while len(picks) < budget:
         rule.mark()
         alone = rule.slack() == np.inf  # nothing can be proven beyond the first pick
-        found = scan_top(
-            pool, rule.scorer(), 1 if alone else limit + 1, [p.item for p in picks], rule.prepare, id, vec
+        found, complete = scan_top(
+            pool, rule.scorer(), 1 if alone else limit, [p.item for p in picks], rule.prepare, id, vec
         )
         if not found.num_rows:
             break
         ids = id_values(found.column(id))
         raw = matrix(found.column(vec))
         limit = max(1, min(candidates, CANDIDATE_BYTES // (8 * raw.shape[1])))
-        whole = not alone and len(ids) <= limit
+        whole = complete and not alone
         tau = -np.inf if whole else float(found.column("score")[-1].as_py())
-        if not whole and not alone and len(ids) > 1:
-            ids, raw = ids[:-1], raw[:-1]
         x = rule.prepare(raw)
         alive = np.ones(len(ids), dtype=bool)
         first = True

@@ -37,7 +37,7 @@ from gleaner.operators.greedy import (
     pool_values,
     unit,
 )
-from gleaner.operators.scores import full_scores, minmax_normalize, order_scores, rank_all, top_budget
+from gleaner.operators.scores import full_scores, order_scores, rank_all, top_budget
 from gleaner.operators.similarity import (
     exp_mass,
     exp_weighted,
@@ -435,7 +435,9 @@ def craig_proxy(pool: DataFrame, query: DataFrame, budget: int, temperature: flo
     mass = with_similarity(query, pool, [exp_mass(temperature, "mass")], keep=["vec"])
     shares = mass.select("item_id", "vec", (1.0 / F.col("mass")).alias("share"))
     covered = freeze(with_similarity(pool, shares, [exp_mass(temperature, "score")], weight="share"))
-    scored = minmax_normalize(covered.withColumn("method", F.lit("craig_proxy")), strict=False).drop("method")
+    low, high = (covered.agg(f("score")).scalar() for f in (F.min, F.max))
+    scaled = F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(F.lit(0.5))
+    scored = covered.select("item_id", scaled.alias("score"))
     ranking = top_budget(scored, budget).select("rank", "item_id", F.col("score").alias("gain"))
     return Selection(ranking, lambda: scored, "craig_proxy", budget, {"temperature": temperature})
 

@@ -166,7 +166,10 @@ def with_similarity(
             if seen:
                 yield pa.RecordBatch.from_arrays([anchor_ids, *[pa.array(o) for o in out]], names=names)
 
-        merged = _merged(right.select(vec, *extra).mapInArrow(partial_batches, schema), id, measures)
+        # Few tasks: each sends one row per left row.
+        tasks = 4 * left.sparkSession.sparkContext.defaultParallelism
+        partials = right.select(vec, *extra).coalesce(tasks).mapInArrow(partial_batches, schema)
+        merged = _merged(partials, id, measures)
     else:
         left_blocks = block_count(left, vec, block_bytes)
         right_blocks = block_count(right, vec, block_bytes)

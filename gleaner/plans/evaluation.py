@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleaner.operators import evaluate as E
@@ -147,21 +146,17 @@ def fitness_median(spark, sf):
 
 
 def _runs(spark, sf):
-    """A customer's orders in time are the epochs of a run."""
-    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    """A customer's orders by key are the epochs of a run."""
     return table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("run"), F.row_number().over(order).alias("epoch"), F.col("o_totalprice").alias("val_loss")
+        F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("epoch"), F.col("o_totalprice").alias("val_loss")
     )
 
 
-SQL_RUNS = """runs AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS epoch, o_totalprice AS val_loss FROM orders)"""
+SQL_RUNS = """runs AS (SELECT o_custkey AS run, o_orderkey AS epoch, o_totalprice AS val_loss FROM orders)"""
 
 
 def _topk(spark, sf, mode):
-    dices = _runs(spark, sf).groupBy("run").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("epoch", "val_loss"))), lambda x: x["val_loss"]).alias("val_dices")
-    )
-    return E.topk_fitness(dices, 4, mode).select("run", r4("fitness").alias("fitness"))
+    return E.topk_log_fitness(_runs(spark, sf), 4, mode, "val_loss").select("run", r4("fitness").alias("fitness"))
 
 
 @query("topk_median_fitness", f"""WITH {SQL_RUNS}, t AS (SELECT run, val_loss, row_number() OVER (PARTITION BY run ORDER BY val_loss DESC) AS r FROM runs)
@@ -201,9 +196,9 @@ def last_checkpoint(spark, sf):
     return E.pick_checkpoint(_runs(spark, sf), mode="last")
 
 
-@query("loss_curve_mean", f"WITH {SQL_RUNS} SELECT run % 10 AS run, epoch AS iter, round(avg(val_loss) + 1e-7, 4) AS loss FROM runs GROUP BY 1, 2")
+@query("loss_curve_mean", f"WITH {SQL_RUNS} SELECT run % 10 AS run, epoch % 12 AS iter, round(avg(val_loss) + 1e-7, 4) AS loss FROM runs GROUP BY 1, 2")
 def loss_curve_mean(spark, sf):
-    curves = _runs(spark, sf).select((F.col("run") % 10).alias("run"), F.col("epoch").cast("long").alias("iter"), F.col("val_loss").alias("loss"))
+    curves = _runs(spark, sf).select((F.col("run") % 10).alias("run"), (F.col("epoch") % 12).alias("iter"), F.col("val_loss").alias("loss"))
     return E.mean_curve(curves).withColumn("loss", r4("loss"))
 
 

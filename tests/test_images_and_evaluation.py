@@ -149,6 +149,10 @@ def test_fitness_modes(spark):
     assert got["best"][1] == 0.5 and got["final"][1] == 0.2 and got["final"][2] == float("-inf")
     with pytest.raises(ValueError):
         E.topk_fitness(df, 4, "other")
+    log = df.select(F.col("cand").alias("run"), F.posexplode("val_dices").alias("epoch", "val_dice"))
+    for mode in ("median", "best", "final"):
+        long = {r["run"]: r["fitness"] for r in E.topk_log_fitness(log, 4, mode).collect()}
+        assert long == pytest.approx({k: v for k, v in got[mode].items() if k != 2})
     seeds = spark.createDataFrame([(0, 0, 1.0), (0, 0, 2.0), (0, 0, 9.0)], "gen int, cand int, fitness double")
     assert E.aggregate_fitness(seeds, "median").first()["fitness"] == 2.0
     assert E.aggregate_fitness(seeds).first()["fitness"] == 4.0
