@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from gleaner.plans import evaluation, images, scoring, shifts, subsets, valuation  # noqa: F401
+from gleaner.plans import evaluation, images, scoring, shifts, storage, subsets, valuation  # noqa: F401
 from gleaner.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
