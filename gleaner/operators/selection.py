@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.functions.ordering import first_rows
+from gleaner.functions.ordering import WINDOW_LIMIT, first_rows
 from gleaner.functions.kernels import distances, id_values, matrix, nearest_distance, row_slices, unit_rows
 from gleaner.functions.vectors import hash_order, hash_uniform, l2_normalize, norm
 from gleaner.operators.aggregate import centroid_array, gram_array
@@ -471,7 +471,8 @@ def rds_round_robin(pool: DataFrame, query: DataFrame, budget: int, **_) -> Sele
         turn = 0
         while len(picks) < budget:
             share = -(-(budget - len(picks)) // count)
-            lists = _best_lists(nearest_items(asking, data, 2 * share + 8, exclude=[p.item for p in picks]))
+            length = min(2 * share + 8, WINDOW_LIMIT)
+            lists = _best_lists(nearest_items(asking, data, length, exclude=[p.item for p in picks]))
             if not lists:
                 break
             taken = set()

@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.kernels import best_rows, id_values, matrix, row_slices, unit_rows
+from gleaner.functions.ordering import first_rows
 from gleaner.session import BLOCK_BYTES, BROADCAST_BYTES
 
 
@@ -294,7 +295,14 @@ def nearest_items(
         a = spread(queries.select(query_id, vec), F.xxhash64(query_id), "__q", q_blocks, "__p", p_blocks)
         b = spread(pool.select(id, vec), F.xxhash64(id), "__p", p_blocks, "__q", q_blocks)
         found = a.groupBy("__q", "__p").cogroup(b.groupBy("__q", "__p")).applyInArrow(block_pair, schema)
-    window = Window.partitionBy(query_id).orderBy(F.desc("sim"), F.asc(id))
-    return found.withColumn("position", F.row_number().over(window).cast("int")).filter(
-        F.col("position") <= k
-    )
+    placed = first_rows(found, k, [F.desc("sim"), F.asc(id)], [query_id], "position")
+    return placed.withColumn("position", F.col("position").cast("int"))
+
+
+def softmax(df: DataFrame, value: str, by: Sequence[str], temperature: float = 1.0, name: str = "weight") -> DataFrame:
+    """exp(x / temperature) over its sum within each group; groups are aggregated, not gathered."""
+    scaled = F.col(value) / F.lit(float(temperature))
+    tops = df.groupBy(*by).agg(F.max(scaled).alias("__top"))
+    shifted = df.join(tops, list(by)).withColumn("__e", F.exp(scaled - F.col("__top"))).drop("__top")
+    sums = shifted.groupBy(*by).agg(F.sum("__e").alias("__sum"))
+    return shifted.join(sums, list(by)).withColumn(name, F.col("__e") / F.col("__sum")).drop("__e", "__sum")

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions.kernels import matrix
-from gleaner.functions.vectors import constant, distance, l2_normalize, project_simplex, rank_weights
+from gleaner.functions.vectors import constant, distance, l2_normalize, parse_seeds, project_simplex, rank_weights
 from gleaner.operators import aggregate, selection
 from gleaner.operators.scores import nested_budgets
-from gleaner.operators.similarity import max_similarity, sum_positive, sum_similarity, with_similarity
+from gleaner.operators.similarity import (
+    max_similarity,
+    nearest_items,
+    softmax,
+    sum_positive,
+    sum_similarity,
+    with_similarity,
+)
 from gleaner.plans.registry import (
     BUDGET,
     KS,
@@ -85,6 +92,30 @@ def similarity_summary(spark, sf):
     return found.select("item_id", *[r6(c).alias(c) for c in ("max_sim", "sum_sim", "sum_pos")])
 
 
+_NEAR = f"""WITH {SQL_ITEMS}, {SQL_PAIRS}, near AS (SELECT q_id AS query_id, item_id, s AS sim, row_number() OVER (
+      PARTITION BY q_id ORDER BY round(s, 12) DESC, item_id) AS position FROM pairs)"""
+
+
+def _near(spark, sf):
+    return nearest_items(target(spark, sf).withColumnRenamed("item_id", "query_id"), pool(spark, sf), 20)
+
+
+@query("nearest_pairs", f"""{_NEAR} SELECT query_id, item_id, position::INTEGER AS position, round(sim, 6) + 0.0 AS sim,
+    round(greatest(sim, 0), 6) + 0.0 AS clipped FROM near WHERE position <= 20""")
+def nearest_pairs(spark, sf):
+    """Cosines of each target item with its 20 nearest pool items, as they are and clipped at 0."""
+    return _near(spark, sf).select(
+        "query_id", "item_id", "position", r6("sim").alias("sim"), r6(F.greatest("sim", F.lit(0.0))).alias("clipped")
+    )
+
+
+@query("pair_softmax", f"""{_NEAR} SELECT query_id, item_id, round(exp(5 * sim) / sum(exp(5 * sim)) OVER (PARTITION BY query_id), 6) + 0.0 AS weight
+    FROM near WHERE position <= 20""")
+def pair_softmax(spark, sf):
+    weighted = softmax(_near(spark, sf), "sim", ["query_id"], temperature=0.2)
+    return weighted.select("query_id", "item_id", r6("weight").alias("weight"))
+
+
 @query("less_softmax", f"""WITH {SQL_ITEMS}, {SQL_PAIRS},
     sl AS (SELECT item_id, sum(exp(20 * s) * s) / (sum(exp(20 * s)) + 1e-8) AS s FROM pairs GROUP BY 1),
     su AS (SELECT item_id // 5 AS item_id, avg(s) AS s FROM sl GROUP BY 1)
@@ -545,8 +576,6 @@ def rank_weights_by_site(spark, sf):
 @query("parse_seeds", """SELECT o_custkey AS item_id, list_sum(list_transform(string_split(o_custkey || ', ' || o_orderkey, ', '),
     lambda s: s::BIGINT))::BIGINT AS total, 2::INTEGER AS n FROM orders""")
 def parse_seeds_query(spark, sf):
-    from gleaner.functions.vectors import parse_seeds
-
     text = F.concat_ws(", ", "o_custkey", "o_orderkey")
     seeds = table(spark, sf, "orders").select(F.col("o_custkey").alias("item_id"), parse_seeds(text).alias("seeds"))
     return seeds.select(

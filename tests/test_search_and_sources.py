@@ -21,7 +21,9 @@ def scored(spark):
     return x, spark.createDataFrame(rows, "method string, item_id bigint, score double")
 
 
-def test_population_in_one_job_equals_one_by_one(spark, scored):
+@pytest.mark.parametrize("task_rows", [1_000_000, 1])
+def test_population_in_one_job_equals_one_by_one(spark, scored, monkeypatch, task_rows):
+    monkeypatch.setattr(search, "TASK_ROWS", task_rows)
     x, scores = scored
     z = np.random.default_rng(1).normal(size=(5, 3))
     z[0] = -1.0
