@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.kernels import matrix, vector_array
-from gleaner.functions.vectors import l2_normalize
+from gleaner.functions.vectors import hash_order, l2_normalize
 
 _FOLD = {"mean": np.add, "sum": np.add, "max": np.maximum}
 
@@ -151,6 +151,20 @@ def case_embedding(slices: DataFrame, by: str = "subject_id", eps: float = 1e-8)
     )
 
 
+def hashed_coordinates(spark: SparkSession, width: int, proj_dim: int, seed: int = 0) -> DataFrame:
+    """Bucket and sign of every coordinate from two parts of its hash."""
+    key = hash_order(F.col("id"), seed)
+
+    def bits(start):
+        return F.conv(F.substring(key, start, 8), 16, 10).cast("long")
+
+    return spark.range(width).select(
+        F.col("id").cast("int").alias("dim"),
+        (bits(1) % proj_dim).cast("int").alias("bucket"),
+        F.when(bits(9) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"),
+    )
+
+
 def countsketch(items: DataFrame, proj_dim: int, seed: int = 0, hash_table: DataFrame | None = None,
                 id: str = "item_id", vec: str = "vec") -> DataFrame:
     """Project to ``proj_dim`` values: coordinate j is added with its sign to its bucket.
@@ -160,13 +174,7 @@ def countsketch(items: DataFrame, proj_dim: int, seed: int = 0, hash_table: Data
     """
     if hash_table is None:
         width = items.select(F.size(vec).alias("d")).first()["d"]
-        hashed = F.xxhash64("id", F.lit(seed))
-        hash_table = items.sparkSession.range(width).select(
-            F.col("id").cast("int").alias("dim"),
-            F.pmod(hashed, F.lit(proj_dim)).cast("int").alias("bucket"),
-            F.when(F.pmod(F.xxhash64("id", F.lit(seed), F.lit("sign")), F.lit(2)) == 0, 1.0)
-            .otherwise(-1.0).alias("sign"),
-        )
+        hash_table = hashed_coordinates(items.sparkSession, width, proj_dim, seed)
     table = hash_table.orderBy("dim").toArrow()
     dims = np.asarray(table.column("dim"))
     if len(dims) != len(np.unique(dims)):

@@ -546,7 +546,12 @@ def countsketch(spark, sf):
     return _long(aggregate.countsketch(items(spark, sf), 16, hash_table=_sketch_table(spark)), "item_id")
 
 
-@query("countsketch_hashed")
+@query("countsketch_hashed", """WITH d AS (SELECT vec_id AS item_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+    h AS (SELECT i, ('0x' || md5('1:' || i)[1:8])::BIGINT % 16 AS dim, CASE WHEN ('0x' || md5('1:' || i)[9:16])::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign
+      FROM (SELECT DISTINCT i FROM d)),
+    cells AS (SELECT item_id, dim, sum(x * sign) AS v FROM d JOIN h USING (i) GROUP BY 1, 2),
+    every AS (SELECT vec_id AS item_id, unnest(range(16)) AS dim FROM embeddings)
+    SELECT item_id, dim, round(coalesce(v, 0), 6) + 0.0 AS value FROM every LEFT JOIN cells USING (item_id, dim)""")
 def countsketch_hashed(spark, sf):
     return _long(aggregate.countsketch(items(spark, sf), 16, seed=1), "item_id")
 
