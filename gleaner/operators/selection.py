@@ -468,10 +468,11 @@ def rds_round_robin(pool: DataFrame, query: DataFrame, budget: int, **_) -> Sele
     picks: list[Pick] = []
     with cached_pool(pool) as data, cached_pool(queries, "query_id") as asking:
         count = asking.count()
-        turn = 0
+        turn = length = 0
         while len(picks) < budget:
-            share = -(-(budget - len(picks)) // count)
-            length = min(2 * share + 8, WINDOW_LIMIT)
+            # As many items as picks are left always suffice; after a pass that ran out, read more.
+            left = budget - len(picks)
+            length = min(max(2 * -(-left // count) + 8, 4 * length), left, WINDOW_LIMIT)
             lists = _best_lists(nearest_items(asking, data, length, exclude=[p.item for p in picks]))
             if not lists:
                 break

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.functions.kernels import best_rows, id_values, matrix, row_slices, unit_rows
+from gleaner.functions.kernels import id_values, matrix, row_slices, unit_rows
 from gleaner.functions.ordering import first_rows
 from gleaner.session import BLOCK_BYTES, BROADCAST_BYTES
 
@@ -239,26 +239,33 @@ def nearest_items(
     names = [query_id, id, "sim"]
     banned = np.asarray(list(exclude))
 
-    def best_of(qx, q_ids, x, ids):
+    def merge(held, qx, x, ids):
+        """Best ``k`` (query, item, sim) of what is held and a batch, sorted by query and place."""
         keep = ~np.isin(ids, banned) if len(banned) else np.ones(len(ids), dtype=bool)
         x, ids = x[keep], ids[keep]
-        rows_q, rows_i, sims = [], [], []
         for cols in row_slices(len(x)):
             block = np.round(qx @ x[cols].T, 12)
-            for q in range(len(qx)):
-                best = best_rows(block[q], ids[cols], k)
-                rows_q.append(np.full(len(best), q))
-                rows_i.append(ids[cols][best])
-                sims.append(block[q][best])
-        if not rows_q:
-            return None
-        q, i, s = np.concatenate(rows_q), np.concatenate(rows_i), np.concatenate(sims)
-        order = np.lexsort((i, -s, q))
-        q, i, s = q[order], i[order], s[order]
-        first = np.r_[True, q[1:] != q[:-1]]
-        place = np.arange(len(q)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-        q, i, s = q[place < k], i[place < k], s[place < k]
-        return pa.RecordBatch.from_arrays([q_ids.take(pa.array(q)), pa.array(i), pa.array(s)], names=names)
+            n = block.shape[1]
+            floor = np.full(len(qx), -np.inf) if n <= k else np.partition(block, n - k, axis=1)[:, n - k]
+            if held is not None:  # a full list is only entered by its last value or better
+                queries_held, counts = np.unique(held[0], return_counts=True)
+                last = np.cumsum(counts) - 1
+                full = counts == k
+                floor[queries_held[full]] = np.maximum(floor[queries_held[full]], held[2][last[full]])
+            q, at = np.nonzero(block >= floor[:, None])
+            i, s = ids[cols][at], block[q, at]
+            if held is not None:
+                q, i, s = (np.concatenate(pair) for pair in zip(held, (q, i, s)))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            first = np.r_[True, q[1:] != q[:-1]]
+            place = np.arange(len(q)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            held = tuple(v[place < k] for v in (q, i, s))
+        return held
+
+    def rows_of(held, q_ids):
+        q, i, s = held
+        return pa.RecordBatch.from_arrays([q_ids.take(pa.array(q)), pa.array(i), pa.array(s + 0.0)], names=names)
 
     small = fetch_bounded(queries, vec, [query_id], broadcast_bytes)
     if small is not None:
@@ -266,12 +273,13 @@ def nearest_items(
         point_ids = small.column(query_id).combine_chunks()
 
         def scan(batches):
+            held = None
             for batch in batches:
                 x = matrix(batch.column(vec))
                 if len(x):
-                    out = best_of(points, point_ids, unit_rows(x, eps), id_values(batch.column(id)))
-                    if out is not None:
-                        yield out
+                    held = merge(held, points, unit_rows(x, eps), id_values(batch.column(id)))
+            if held is not None:
+                yield rows_of(held, point_ids)
 
         found = pool.select(id, vec).mapInArrow(scan, schema)
     else:
@@ -282,15 +290,13 @@ def nearest_items(
         )
 
         def block_pair(a: pa.Table, b: pa.Table) -> pa.Table:
-            out = None
+            held = None
             if a.num_rows and b.num_rows:
-                out = best_of(
-                    unit_rows(matrix(a.column(vec)), eps),
-                    a.column(query_id).combine_chunks(),
-                    unit_rows(matrix(b.column(vec)), eps),
-                    id_values(b.column(id)),
+                held = merge(
+                    None, unit_rows(matrix(a.column(vec)), eps), unit_rows(matrix(b.column(vec)), eps), id_values(b.column(id))
                 )
-            return pa.Table.from_batches([out] if out is not None else [], schema=arrow_schema)
+            rows = [] if held is None else [rows_of(held, a.column(query_id).combine_chunks())]
+            return pa.Table.from_batches(rows, schema=arrow_schema)
 
         a = spread(queries.select(query_id, vec), F.xxhash64(query_id), "__q", q_blocks, "__p", p_blocks)
         b = spread(pool.select(id, vec), F.xxhash64(id), "__p", p_blocks, "__q", q_blocks)
