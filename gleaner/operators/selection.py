@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.ordering import WINDOW_LIMIT, first_rows
-from gleaner.functions.kernels import distances, id_values, matrix, nearest_distance, row_slices, unit_rows
+from gleaner.functions.kernels import distances, id_values, matrix, nearest_distance, row_slices
 from gleaner.functions.vectors import hash_order, hash_uniform, l2_normalize, norm
 from gleaner.operators.aggregate import centroid_array, gram_array
 from gleaner.operators.facility import facility_location
