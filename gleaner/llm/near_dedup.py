@@ -7,9 +7,9 @@ has fewer words). Two documents are linked when their sets' Jaccard similarity i
    (Ertl, "SetSketch", 2021). An element's arrival times form a Poisson process whose points are
    dealt to the registers, so that only points below the set's own bound are ever made.
 2. Documents with equal sets form one class, found by a digest of the whole set.
-3. Classes that share a band of registers meet in a bucket. Each is compared with the bucket's
-   smallest id only; likelihood of the registers' order relations and the exact set sizes
-   gives the joint estimate, and pairs it can't rule out are checked on the full sets.
+3. Classes that share a band of registers meet in a bucket. Each is first compared with one other,
+   the smallest of the buckets that they share most; likelihood of the registers' order relations and the exact
+   set sizes gives the joint estimate, and pairs it can't rule out are checked on the full sets.
 4. Buckets that still hold several components are searched whole, in blocks, by the same estimate.
    Only pairs of different components that it can't rule out leave the task. Buckets whose members are all
    in one component, such as those of a large group of copies, cost nothing here.
@@ -148,9 +148,9 @@ def _screen(percent: int):
                 continue
             a, b, n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             r_a, r_b = _bytes(batch.column(4)), _bytes(batch.column(5))
-            best, ratio = likely_similarity((r_a > r_b).sum(1), (r_a < r_b).sum(1), n_a, n_b, percent / 100)
+            _, ratio = likely_similarity((r_a > r_b).sum(1), (r_a < r_b).sum(1), n_a, n_b, percent / 100)
             keep = _sizes_fit(n_a, n_b, percent) & (ratio >= -SLACK)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(best[keep])], names=["a", "b", "estimate"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return run
 
@@ -252,16 +252,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     )
     members = scratch.save(keys.join(buckets.select("bucket", "low", "members"), "bucket"), "members")
 
-    # Each class against the smallest of each of its buckets.
-    star = members.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    # Each class against the smallest of its buckets that it shares most bands with: one pair a
+    # class, which mostly settles it.
+    shared = members.filter("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
+    star = shared.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
     described = star.join(
         classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("r_a")), "a"
     ).join(classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("registers").alias("r_b")), "b")
-    candidates = described.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_screen(percent), "a long, b long, estimate double")
-    # The most similar one first: one pair a class is checked, and mostly settles it.
-    first = scratch.save(
-        scratch.save(candidates, "candidates").groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")), "first"
-    )
+    first = scratch.save(described.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_screen(percent), "a long, b long"), "first")
     checked = _confirm(first, docs, scratch, "first-check", size, percent)
 
     # Ids in several rows with different texts tie these texts' classes.
@@ -300,7 +298,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     tops = scratch.save(
         of_class.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id")), "tops"
     )
-    scratch.drop("classes", "buckets", "candidates", "first", "first-check-checked", "of-class", "ties", "roots-1", "labelled", "mixed", "second", "second-check-checked", "roots-2")
+    scratch.drop("classes", "buckets", "first", "first-check-checked", "of-class", "ties", "roots-1", "labelled", "mixed", "second", "second-check-checked", "roots-2")
     out = rows.select("doc_id", "n_shingles").join(tops, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

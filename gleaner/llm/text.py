@@ -40,8 +40,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, row offsets) for runs of rows of about ``PIECE_BYTES``; null is empty."""
+def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, row offsets) for runs of rows of about ``limit`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
@@ -51,7 +51,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(column):
-        end = int(np.searchsorted(offsets, offsets[row] + PIECE_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
         end = min(max(end, row + 1), len(column))
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
