@@ -42,7 +42,7 @@ FEATURES = {
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``__m`` of counts; null texts count as empty.
+    """``docs`` with counts in columns of two underscores before the name; null texts count as empty.
 
     ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` as the query defines them, and ``n_lines`` (lines with
     a word), ``n_marks`` (``!`` and ``?``), ``n_capitals`` (A-Z), ``n_digits`` (0-9), ``n_different`` (different words).
@@ -69,34 +69,32 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     def count(pattern: str) -> Column:
         return F.regexp_count("__t", F.lit(pattern)).cast("long")
 
-    counts = F.struct(
-        F.size("__w").cast("long").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        count(r"[#*$%&|<>]").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("__l").cast("long").alias("n_lines"),
-        count("[!?]").alias("n_marks"),
-        count("[A-Z]").alias("n_capitals"),
-        count("[0-9]").alias("n_digits"),
-        F.size(F.array_distinct("__h")).cast("long").alias("n_different"),
+    counts = (
+        F.size("__w").cast("long").alias("__n_words"),
+        F.length(F.array_join("__w", "")).cast("long").alias("__word_chars"),
+        count(r"[#*$%&|<>]").alias("__n_symbols"),
+        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("__n_dup_lines"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("__n_repeat_words"),
+        F.size("__l").cast("long").alias("__n_lines"),
+        count("[!?]").alias("__n_marks"),
+        count("[A-Z]").alias("__n_capitals"),
+        count("[0-9]").alias("__n_digits"),
+        F.size(F.array_distinct("__h")).cast("long").alias("__n_different"),
     )
-    return df.withColumn("__m", counts).select(*docs.columns, "__m")
+    # The row number keeps filters on the counts above them: pushed down, they would count again.
+    return df.select(*docs.columns, *counts, F.monotonically_increasing_id().alias("__row"))
 
 
 def base_failed() -> Column:
     """Too short, or too much of it repeated."""
-    return (F.col("__m.n_words") < 20) | (100 * F.col("__m.n_repeat_words") > 30 * F.col("__m.n_words"))
+    return (F.col("__n_words") < 20) | (100 * F.col("__n_repeat_words") > 30 * F.col("__n_words"))
 
 
 def feature(name: str) -> Column:
-    """A feature of ``__m``; 0 for texts without words."""
-    expression = FEATURES[name]
-    for column in sorted({part for e in FEATURES.values() for part in e.split(" / ")}, key=len, reverse=True):
-        expression = expression.replace(column, f"\0{column}\0")
-    names = [p for p in expression.replace("\0", " ").split() if p != "/"]
-    value = F.col(f"__m.{names[0]}").cast("double")
-    return value if len(names) == 1 else F.coalesce(value / F.nullif(F.col(f"__m.{names[1]}").cast("double"), F.lit(0.0)), F.lit(0.0))
+    """A feature from the counts of ``measure``; 0 for texts without words."""
+    above, _, below = FEATURES[name].partition(" / ")
+    value = F.col(f"__{above}").cast("double")
+    return F.coalesce(value / F.nullif(F.col(f"__{below}").cast("double"), F.lit(0.0)), F.lit(0.0)) if below else value
 
 
 @dataclass(frozen=True)
@@ -169,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> list[list[Con
     )
     sample = scratch.save(sample.orderBy(F.xxhash64("__id"), "__id").limit(LABELLED), "sample")
     known = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(sample), "__id")
-    rows = scratch.save(measure(known).select("__id", "bad", "__m", *[feature(n).alias(n) for n in FEATURES]).filter(~base_failed()), "labelled")
+    rows = scratch.save(measure(known).select("__id", "bad", base_failed().alias("failed"), *[feature(n).alias(n) for n in FEATURES]), "labelled").filter("NOT failed")
     grow = F.pmod(F.xxhash64(F.lit("part"), "__id"), F.lit(3)) > 0
     quantiles = [i / CUTS for i in range(1, CUTS)]
     found = rows.filter(grow).agg(*[F.percentile_approx(n, quantiles, 10_000).alias(n) for n in FEATURES]).first()
@@ -222,11 +220,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = learn(docs, labels, Scratch(docs.sparkSession))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return measure(docs.select("doc_id", "text")).select(
-        "doc_id", *[F.col(f"__m.{c}").alias(c) for c in base], base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept")
+        "doc_id", *[F.col(f"__{c}").alias(c) for c in base], base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
     rules = learn(docs, labels, Scratch(docs.sparkSession))
-    return measure(docs).filter(~base_failed() & verdict(rules)).select(*docs.columns)
+    return measure(docs).filter((F.col("__row") >= 0) & ~base_failed() & verdict(rules)).select(*docs.columns)
