@@ -113,7 +113,7 @@ class Lattices:
         self.unit_node = np.zeros(0, np.int64)  # first node of each, in that order
         self.n_nodes = 0
         self.ends = np.zeros(0, bool)
-        self.keys = np.zeros(0)
+        self.upto = np.zeros(0)  # chance of an edge and those before it
         self.edge_piece, self.edge_size, self.edge_log = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.first_edge = np.zeros(1, np.int64)
 
@@ -168,7 +168,7 @@ class Lattices:
         bare = ~single[chars]
         starts_here = np.concatenate((starts_here, chars[bare]))
         size, piece = np.concatenate((size, length[bare])), np.concatenate((piece, np.full(int(bare.sum()), -1)))
-        order = np.lexsort((size, starts_here))
+        order = np.lexsort((-size, starts_here))
         starts_here, size, piece = starts_here[order], size[order], piece[order]
         worst = self.vocabulary.scores[-1]
         weight = self.alpha * np.where(piece >= 0, self.vocabulary.scores[piece], worst * (size + 1))
@@ -191,8 +191,8 @@ class Lattices:
         upto = total[1:] - total[begin[starts_here]]
         upto /= np.repeat(total[begin[1:]] - total[begin[:-1]], np.diff(begin))
         last = begin[1:][np.diff(begin) > 0] - 1
-        upto[last] = 1.0
-        self.keys = np.concatenate((self.keys, starts_here + self.n_nodes + upto))
+        upto[last] = 2.0
+        self.upto = np.concatenate((self.upto, upto))
         self.first_edge = np.concatenate((self.first_edge, self.first_edge[-1] + begin[1:]))
         self.edge_piece, self.edge_size = np.concatenate((self.edge_piece, piece)), np.concatenate((self.edge_size, size))
         self.edge_log = np.concatenate((self.edge_log, np.minimum(log, 0.0)))
@@ -211,7 +211,12 @@ class Lattices:
             at, who = at[live], who[live]
             if not len(at):
                 break
-            edge = np.searchsorted(self.keys, at + noise.uniform(who) * (1 - 1e-9))
+            want = noise.uniform(who)
+            edge = self.first_edge[at]
+            later = np.flatnonzero(want >= self.upto[edge])
+            while len(later):  # a node has few edges; the longest, often the likeliest, come first
+                edge[later] += 1
+                later = later[want[later] >= self.upto[edge[later]]]
             out.append((who, at, edge))
             at = at + self.edge_size[edge]
         if not out:
@@ -383,13 +388,15 @@ def _ids(lattices: Lattices, path: _Path, data: np.ndarray) -> np.ndarray:
     vocabulary = lattices.vocabulary
     piece, size = lattices.edge_piece[path.edges], lattices.edge_size[path.edges]
     ids = vocabulary.ids[piece]
-    if (piece >= 0).all():
+    bare = piece < 0
+    if not bare.any():
         return ids
-    at = np.cumsum(size) - size
-    out = []
-    for i, p, a, n in zip(ids.tolist(), piece.tolist(), at.tolist(), size.tolist()):
-        out += [i] if p >= 0 else vocabulary.bytes_ids[data[a : a + n]].tolist()
-    return np.array(out, np.int64)
+    count = np.where(bare, size, 1)
+    out, at = np.repeat(ids, count), np.repeat(np.cumsum(size) - size, count)
+    at += np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count)
+    bare = np.repeat(bare, count)
+    out[bare] = vocabulary.bytes_ids[data[at[bare]]]
+    return out
 
 
 def decode_ids(vocabulary: Vocabulary, ids) -> bytes:
