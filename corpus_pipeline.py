@@ -4,22 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import near_dedup
+from gleaner.llm import mixing, near_dedup, pieces, pii, quality_rules
 from gleaner.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned decision list reject go."""
+    return quality_rules.keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return near_dedup.keep_one(docs).select(*COLUMNS)
+    return near_dedup.keep_one(docs.select(*COLUMNS))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the text gives way to its kind; ``n_chars`` stays that of the original."""
+    return pii.sanitise(docs.select(*COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them."""
+    return mixing.take(docs.select(*COLUMNS))
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations as piece ids, which decode to the text."""
+    return pieces.sample(docs)
 
 
 STAGES = [
+    ("quality_rules", keep_good),
     ("near_dedup", drop_near_copies),
+    ("pii", hide_personal_data),
+    ("mixing", mix_sources),
+    ("pieces", to_pieces),
 ]
 
-#: The stages learn models and follow links, which SQL can't express.
+#: The stages learn models, follow links and draw samples, which SQL can't express.
 ORACLE_SQL = None
 
 
