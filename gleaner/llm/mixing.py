@@ -163,8 +163,8 @@ levels AS (
   SELECT 0.0::DOUBLE AS full_at, (SELECT 1.5::DOUBLE * sum(source_size) / sum(weight) FROM sources) AS level
   UNION ALL SELECT full_at, (total - held) / open FROM sums WHERE open > 0),
 level AS (
-  -- the first level that fills up no further source
-  SELECT min(level) AS level FROM levels l WHERE NOT EXISTS (
+  -- the level that fills up those sources and no further one
+  SELECT min(level) AS level FROM levels l WHERE l.level >= l.full_at AND NOT EXISTS (
     SELECT 1 FROM ordered o WHERE o.full_at > l.full_at AND l.level * o.weight >= 2.0::DOUBLE * o.source_size)),
 wanted AS (
   SELECT source, source_size, least(coalesce(level, 0) * weight, 2.0::DOUBLE * source_size) AS target FROM sources, level),

@@ -10,9 +10,9 @@ has fewer words). Two documents are linked when their sets' Jaccard similarity i
 3. Classes that share a band of registers meet in a bucket. Each is first compared with one other,
    the smallest of the buckets that they share most; likelihood of the registers' order relations and the exact
    set sizes gives the joint estimate, and pairs it can't rule out are checked on the full sets.
-4. Buckets that still hold several components are searched whole, in blocks, by the same estimate.
-   Only pairs of different components that it can't rule out leave the task. Buckets whose members are all
-   in one component, such as those of a large group of copies, cost nothing here.
+4. Buckets that still hold several components are searched whole, in blocks. Pairs of different
+   components that the estimate can't rule out are checked on the full sets in the same task, so
+   that only links leave it. Buckets whose members are all in one component cost nothing here.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ BANDS, BAND_SIZE = 51, 5
 SLACK = 12.0
 #: Ids shipped to every task for fetching texts (8 bytes each); beyond it the ids are joined.
 SHIPPED_IDS = 1_000_000
-#: Rows of a bucket that are compared with each other in one task.
-BLOCK = 1000
+#: Rows of a bucket, and their shingles, in one block; one task compares two blocks.
+BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,8 +131,8 @@ def _bands(batches):
         keys = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :].repeat(len(values), 0)
         for j in range(BAND_SIZE):
             keys = keys * np.uint64(256) + values[:, :, j]
-        node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(node)], names=["bucket", "node"])
+        node, n = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), BANDS) for i in (0, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(node), pa.array(n)], names=["bucket", "node", "n_shingles"])
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
@@ -182,46 +182,74 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _search(percent: int):
-    """A bucket's pair of blocks -> pairs of different roots that the registers allow.
+def _search(size: int, percent: int):
+    """A bucket's pair of blocks -> links between different roots, checked on the full sets.
 
-    A row of the left block meets the right one; a block against itself meets each pair once.
+    Rows of the left block meet those of the right one; a block against itself meets each pair
+    once. A pair counts in the first band that it shares, and once two roots are linked they are one.
     """
 
     def run(key, table):
-        left, right = key[1].as_py(), key[2].as_py()
+        bucket, left, right = (k.as_py() for k in key)
+        band = (bucket >> (8 * BAND_SIZE)) - 1
         node, root, n, block = (table.column(c).to_numpy() for c in ("node", "root", "n_shingles", "block"))
-        values = _bytes(table.column("registers").combine_chunks())
         order = np.argsort(node, kind="stable")
-        node, root, n, block, values = node[order], root[order], n[order], block[order], values[order]
-        a_out, b_out = [], []
+        values = _bytes(table.column("registers").combine_chunks())[order]
+        bands = values[:, : BANDS * BAND_SIZE].reshape(-1, BANDS, BAND_SIZE)
+        texts = table.column("text")
+        node, n, block = node[order], n[order], block[order]
+        root = np.unique(root[order], return_inverse=True)[1]
+        sets: dict[int, np.ndarray] = {}
+
+        def whole(i: int) -> np.ndarray:
+            if i not in sets:
+                text = np.frombuffer(texts[int(order[i])].as_buffer(), np.uint8)
+                sets[i] = shingles(Words(text, np.array([0, len(text)])), size)[0]
+            return sets[i]
+
+        found = []
         targets = np.flatnonzero(block == right)
-        for i in np.flatnonzero(block == left):
+        for i in np.flatnonzero(block == left).tolist():
             js = targets[targets > i] if left == right else targets
             js = js[(root[js] != root[i]) & _sizes_fit(n[js], n[i : i + 1], percent)]
-            if len(js):
-                more, fewer = (values[i] > values[js]).sum(1), (values[i] < values[js]).sum(1)
-                js = js[likely_similarity(more, fewer, np.repeat(n[i], len(js)), n[js], percent / 100)[1] >= -SLACK]
-                a_out.append(np.repeat(node[i], len(js)))
-                b_out.append(node[js])
-        a = np.concatenate(a_out) if a_out else node[:0]
-        b = np.concatenate(b_out) if b_out else node[:0]
-        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+            if len(js) and band:
+                js = js[~(bands[js, :band] == bands[i, :band]).all(axis=2).any(axis=1)]
+            if not len(js):
+                continue
+            more, fewer = (values[i] > values[js]).sum(1), (values[i] < values[js]).sum(1)
+            best, ratio = likely_similarity(more, fewer, np.repeat(n[i], len(js)), n[js], percent / 100)
+            js = js[ratio >= -SLACK][np.argsort(-best[ratio >= -SLACK], kind="stable")]
+            for j in js.tolist():
+                if root[i] != root[j]:
+                    x, y = sorted((whole(i), whole(j)), key=len)
+                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        found.append((int(node[i]), int(node[j])))
+                        root[root == root[j]] = root[i]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, size: int, percent: int) -> DataFrame:
-    """The written pairs ``(a, b, linked)``: sets of whole texts are compared."""
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The written rows of ``docs`` with one of the ids."""
+    ids = scratch.save(ids, f"{name}-ids")
     small = ids.count() <= SHIPPED_IDS
     texts = scratch.save(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), f"{name}-texts")
+    scratch.drop(f"{name}-ids")
+    return texts
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, size: int, percent: int) -> DataFrame:
+    """The written pairs ``(a, b, linked)``: sets of whole texts are compared."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, scratch, name)
     with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     checked = scratch.save(
         with_b.select("a", "b", "text_b", "text_a").mapInArrow(_verify(size, percent), "a long, b long, linked boolean"), f"{name}-checked"
     )
-    scratch.drop(f"{name}-ids", f"{name}-texts")
+    scratch.drop(f"{name}-texts")
     return checked
 
 
@@ -243,14 +271,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
         ),
         "classes",
     )
-    keys = classes.select("node", "registers").mapInArrow(
-        _bands, "bucket long, node long"
-    )
+    keys = classes.select("node", "registers", "n_shingles").mapInArrow(_bands, "bucket long, node long, n_shingles long")
     buckets = scratch.save(
-        keys.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high"),
-        "buckets",
+        keys.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "buckets"
     )
-    members = scratch.save(keys.join(buckets.select("bucket", "low", "members"), "bucket"), "members")
+    members = scratch.save(keys.join(buckets.select("bucket", "low"), "bucket"), "members")
 
     # Each class against the smallest of its buckets that it shares most bands with: one pair a
     # class, which mostly settles it.
@@ -274,31 +299,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
 
     # What buckets still hold of different components.
     label = F.coalesce("root", "node")
-    labelled = scratch.save(members.join(roots, "node", "left").select("bucket", "node", label.alias("root")), "labelled")
+    labelled = members.join(roots, "node", "left").select("bucket", "node", "n_shingles", label.alias("root"))
+    labelled = scratch.save(labelled, "labelled")
     scratch.drop("members")
     mixed = scratch.save(
-        labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high"),
+        labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("total"))
+        .filter("low < high"),
         "mixed",
     )
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     rest = labelled.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     )
+    rest = scratch.save(rest.select("bucket", "node", "root", "n_shingles", "block", "blocks"), "rest")
+    texts = _texts(rest.select(F.col("node").alias("doc_id")).distinct(), docs, scratch, "rest")
+    described = texts.select(F.col("doc_id").alias("node"), "text").join(classes.select("node", "registers"), "node")
     # Block x is the left one against those after it and the right one against those before it.
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", "node", "root", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
+        "bucket", "node", "root", "n_shingles", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
     )
-    rest = rest.join(classes.select("node", "n_shingles", "registers"), "node")
-    found = rest.groupBy("bucket", "left", "right").applyInArrow(_search(percent), "a long, b long").distinct()
-    second = scratch.save(found.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "second")
-    checked_2 = _confirm(second, docs, scratch, "second-check", size, percent)
-    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(checked_2.filter("linked").select("a", "b"))
+    found = rest.join(described, "node").groupBy("bucket", "left", "right").applyInArrow(_search(size, percent), "a long, b long")
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(scratch.save(found, "found"))
     roots = scratch.save(components(links, scratch, "tree-2"), "roots-2")
 
     tops = scratch.save(
         of_class.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id")), "tops"
     )
-    scratch.drop("classes", "buckets", "first", "first-check-checked", "of-class", "ties", "roots-1", "labelled", "mixed", "second", "second-check-checked", "roots-2")
+    scratch.drop("classes", "buckets", "first", "first-check-checked", "of-class", "ties", "roots-1", "labelled", "mixed", "rest", "rest-texts", "found", "roots-2")
     out = rows.select("doc_id", "n_shingles").join(tops, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -192,6 +192,7 @@ class Lattices:
         upto /= np.repeat(total[begin[1:]] - total[begin[:-1]], np.diff(begin))
         last = begin[1:][np.diff(begin) > 0] - 1
         upto[last] = 2.0
+        upto = np.round(upto, 9)  # the same whatever was built along with it
         self.upto = np.concatenate((self.upto, upto))
         self.first_edge = np.concatenate((self.first_edge, self.first_edge[-1] + begin[1:]))
         self.edge_piece, self.edge_size = np.concatenate((self.edge_piece, piece)), np.concatenate((self.edge_size, size))
@@ -419,11 +420,12 @@ def _sample(vocabulary: Vocabulary, k: int, alpha: float):
                     text = data[offsets[r] : offsets[r + 1]]
                     for number, path in enumerate(paths):
                         ids = _ids(lattices, path, text)
+                        log = float(lattices.edge_log[path.edges].sum())
                         with np.errstate(divide="ignore", over="ignore"):
-                            far = path.log - outside
+                            far = log - outside
                             inclusion = 0.0 if outside == -np.inf else float(np.log(-np.expm1(-np.exp(far)))) if far > -30 else far
                         exact = decode_ids(vocabulary, ids.tolist()) == text.tobytes()
-                        for column, value in zip(columns, (doc_ids[r], number + 1, ids.astype(np.int32), path.log, inclusion, exact)):
+                        for column, value in zip(columns, (doc_ids[r], number + 1, ids.astype(np.int32), round(log, 9), round(inclusion, 6), exact)):
                             column.append(value)
                 types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.bool_()]
                 names = [c.split(" ")[0] for c in _SAMPLES.split(", ")]
