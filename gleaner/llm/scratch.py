@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,3 +30,12 @@ class Scratch:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def settle(self) -> None:
+        """Let Spark remove the shuffle files of finished steps.
+
+        It does so when the driver collects its garbage, which a driver with little to do puts
+        off while the executors' disks fill up.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
