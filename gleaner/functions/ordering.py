@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.session import freeze
 
+#: Groups whose starts are shipped to every task.
+SHIPPED_GROUPS = 100_000
+
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the row index in its low 33 bits
 
 #: Window top-k below this size is cut before the shuffle by Spark itself.
@@ -39,6 +43,16 @@ def _with_offsets(rows: DataFrame, totals: Column) -> DataFrame:
     return rows.join(F.broadcast(offsets), "__part")
 
 
+def _with_starts(rows: DataFrame, starts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Attach each group's start; a null is a group of its own, as in a window."""
+    keys = [f"__key{i}" for i in range(len(by))]
+    named = starts.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "__start")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)])
+    # Few groups of many rows: shipped where their number allows it, else joined.
+    few = named.limit(SHIPPED_GROUPS + 1).count() <= SHIPPED_GROUPS
+    return rows.join(F.broadcast(named) if few else named, same).drop(*keys)
+
+
 def row_number(
     df: DataFrame,
     order: Sequence[Column],
@@ -56,7 +70,7 @@ def row_number(
     rows = rows.withColumn("__row", F.col("__offset") + F.col("__index") + 1)
     if by:
         starts = rows.groupBy(*by).agg(F.min("__row").alias("__start"))
-        rows = rows.join(starts, by).withColumn("__row", F.col("__row") - F.col("__start") + 1)
+        rows = _with_starts(rows, starts, by).withColumn("__row", F.col("__row") - F.col("__start") + 1)
     return rows.select(*df.columns, F.col("__row").cast("long").alias(name))
 
 
@@ -78,7 +92,7 @@ def running_total(
     )
     if by:
         starts = rows.groupBy(*by).agg(F.min("__before").alias("__start"))
-        rows = rows.join(starts, by).withColumn("__before", F.col("__before") - F.col("__start"))
+        rows = _with_starts(rows, starts, by).withColumn("__before", F.col("__before") - F.col("__start"))
     return rows.select(*df.columns, F.col("__before").alias(name))
 
 

@@ -89,7 +89,7 @@ def methods() -> list[str]:
 
 def get_method(name: str) -> Method:
     if name not in _METHODS:
-        raise ValueError(f"unknown selection method {name!r}; available: {methods()}")
+        raise ValueError(f"no method is registered as {name!r}, only {', '.join(methods())}")
     return _METHODS[name]
 
 
@@ -211,7 +211,7 @@ def _from_start(pool, rule_of, budget, start, seed, prepare):
 
 
 def kcenter_pool(
-    pool: DataFrame, max_rank: int = 750, normalize: bool = False, start=None, seed: int = 0
+    pool: DataFrame, max_rank: int, normalize: bool = False, start=None, seed: int = 0
 ) -> Selection:
     """Farthest-first traversal of the pool alone; score = distance at the pick."""
     prepare = unit(1e-12, "add") if normalize else identity
@@ -225,7 +225,7 @@ def kcenter_pool(
 
 
 def diversity_distsum(
-    pool: DataFrame, max_rank: int = 750, normalize: bool = False, start=None, seed: int = 0
+    pool: DataFrame, max_rank: int, normalize: bool = False, start=None, seed: int = 0
 ) -> Selection:
     """Each step adds the item with the largest sum of distances to the picks."""
     prepare = unit(1e-12, "add") if normalize else identity
@@ -361,7 +361,7 @@ def kmeans_select(
 
 
 def kmeans_by_size(
-    pool: DataFrame, max_rank: int = 500, normalize: bool = False, seed: int = 0, n_init: int = 10,
+    pool: DataFrame, max_rank: int, normalize: bool = False, seed: int = 0, n_init: int = 10,
     max_iter: int = 300, centers: np.ndarray | None = None,
 ) -> Selection:
     """Cluster representatives ordered by cluster size; score 1 - r/(N - 1), others 0."""
@@ -585,7 +585,7 @@ def nonnegative_fit(atoms: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def gradmatch_nnls(
-    source: DataFrame, target_items: DataFrame, max_rank: int = 750, normalize: bool = False
+    source: DataFrame, target_items: DataFrame, max_rank: int, normalize: bool = False
 ) -> Selection:
     """Matching pursuit with a non-negative refit; score = drop of the squared residual."""
     prepare = unit(1e-12, "add") if normalize else identity
@@ -666,7 +666,7 @@ def craig_fl_unclipped(pool_grads: DataFrame, budget: int, compat_first: bool =
     return Selection(ranking, scores, "craig", len(picks))
 
 
-def craig_fl(source: DataFrame, max_rank: int = 750) -> Selection:
+def craig_fl(source: DataFrame, max_rank: int) -> Selection:
     """Facility location over max(cos, 0); score = marginal gain, others 0.
 
     The cosine does not depend on the length of the vectors, so there is no separate

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
@@ -22,11 +22,6 @@ from gleaner.operators.selection import mean_similarity
 from gleaner.operators.scores import rank_all
 from gleaner.session import freeze
 
-#: Rows of a set that enter the kernel statistic, and rows that set its bandwidth.
-MMD_ROWS = 1000
-GAMMA_ROWS = 500
-
-
 # ------------------------------------------------------------------ sites
 
 
@@ -64,68 +59,139 @@ def centroid_cosine_distance(a: DataFrame, b: DataFrame) -> float:
 # ------------------------------------------------------------------ MMD
 
 
-def _sampled(items: DataFrame, by: Sequence[str], size: int, seed: int, id: str) -> DataFrame:
-    """At most ``size`` rows per group in hash order; which rows does not depend on partitioning."""
-    return first_rows(items, size, [hash_order(id, seed), F.col(id)], by, "__place").drop("__place")
+#: Rows of one block of a set, and bins of one histogram of distances.
+BLOCK_ROWS = 2000
+BINS = 4096
+PASSES = 3
 
 
-def mmd_value(a: np.ndarray, b: np.ndarray, gamma: float | None, gamma_rows: np.ndarray | None = None) -> float:
-    """mean Kxx + mean Kyy - 2 mean Kxy with K = exp(-gamma (1 - cos)^2) on bounded samples."""
-    a, b = unit_rows(a, 1e-12), unit_rows(b, 1e-12)
-    if gamma is None:
-        x = np.concatenate([a, b]) if gamma_rows is None else unit_rows(gamma_rows, 1e-12)
-        gap = (1.0 - x @ x.T)[np.triu_indices(len(x), 1)]  # self pairs are left out
-        gap = gap[gap > 0]
-        gamma = 1.0 / (float(np.median(gap)) ** 2 + 1e-8) if len(gap) else 1.0
+def _attach(rows: DataFrame, table: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the other columns of ``table``, which has one row per set; nulls are a key like any other."""
+    keys = {c: f"__key{i}" for i, c in enumerate(by)}
+    other = table.select(*[F.col(c).alias(keys.get(c, c)) for c in table.columns])
+    match = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return rows.join(F.broadcast(other), match, how).drop(*keys.values())
 
-    def kernel(x, y):
-        return np.exp(-gamma * (1.0 - x @ y.T) ** 2).mean()
 
-    return float(kernel(a, a) + kernel(b, b) - 2.0 * kernel(a, b))
+def _block_pairs(rows: DataFrame, by: Sequence[str], fn, schema) -> DataFrame:
+    """``fn`` over every pair of blocks of each group; ``rows`` holds ``by``, ``item_id``, ``vec`` and more.
 
+    A group's table comes with ``__left``/``__right`` and each row's ``__block``. A kernel statistic of n rows
+    takes n * n / 2 products; the blocks only bound what one task holds.
+    """
+    by = list(by)
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("__blocks"))
+    blocked = _attach(rows, sizes, by).withColumn("__block", F.pmod(F.xxhash64("item_id"), F.col("__blocks")).cast("int"))
+    spread = blocked.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+    spread = spread.withColumns({"__left": F.least("__block", "__other"), "__right": F.greatest("__block", "__other")}).drop("__other")
+    return spread.groupBy(*by, "__left", "__right").applyInArrow(fn, schema)
 
-def _gamma_rows(ids_a, a, ids_b, b, seed, limit=GAMMA_ROWS) -> np.ndarray:
-    """Rows that set the bandwidth: the first of the union in hash order."""
-    import hashlib
 
-    rows = np.concatenate([a, b])
-    if len(rows) <= limit:
-        return rows
-    keys = [hashlib.md5(f"{seed}:{s}:{i}".encode()).hexdigest() for s, ids in (("a", ids_a), ("b", ids_b)) for i in ids]
-    return rows[np.argsort(np.array(keys), kind="stable")[:limit]]
+def _sides(table: pa.Table):
+    """(rows of the left block, rows of the right block, cosines between them, whether they are one block)."""
+    x, block = unit_rows(matrix(table.column("vec")), 1e-12), np.asarray(table.column("__block"))
+    left, right = table.column("__left")[0].as_py(), table.column("__right")[0].as_py()
+    a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
+    return a, b, x[a] @ x[b].T, left == right
 
 
-def mmd_rbf(
-    a: DataFrame, b: DataFrame, gamma: float | None = None, max_n: int = MMD_ROWS, seed: int = 0, id: str = "item_id"
-) -> float:
-    """MMD of two sets, each sampled to at most ``max_n`` rows."""
-    sides = [_sampled(s.select(id, "vec"), [], max_n, seed, id).orderBy(id).toArrow() for s in (a, b)]
-    x, y = (matrix(s.column("vec")) for s in sides)
-    rows = _gamma_rows(sides[0].column(id).to_pylist(), x, sides[1].column(id).to_pylist(), y, seed)
-    return mmd_value(x, y, gamma, rows)
+def bandwidths(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by, gamma``: 1 / (median distance 1 - cos)^2 over the different, not equal pairs of each group.
 
+    The median is found by counting: each pass sums a histogram over the interval that holds
+    the middle value, then looks closer. Distances are never kept; groups without such pairs get 1.
+    """
+    by = list(by)
+    kinds = [rows.schema[c] for c in by]
+    fields = kinds + [T.StructField("which", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType())]
+
+    def count(key, table):
+        a, b, s, same = _sides(table)
+        gap = 1.0 - s
+        gap = gap[np.triu_indices(len(a), 1)] if same else gap.ravel()
+        gap = gap[gap > 0]
+        columns = [[], [], []]
+        for which in (0, 1):
+            low, high = table.column(f"low{which}")[0].as_py(), table.column(f"high{which}")[0].as_py()
+            at = np.floor((gap - low) / (high - low) * BINS)
+            found, n = np.unique(np.clip(at, -1, BINS).astype(np.int64), return_counts=True)
+            for column, values in zip(columns, (np.full(len(found), which), found, n)):
+                column.append(values)
+        which, found, n = (np.concatenate(c) for c in columns)
+        keys = [pa.array([k.as_py()] * len(found), k.type) for k in key[: len(by)]]
+        return pa.table([*keys, pa.array(which, pa.int32()), pa.array(found, pa.int32()), pa.array(n, pa.int64())], names=[f.name for f in fields])
+
+    state = rows.select(*by).distinct().withColumns({"low0": F.lit(0.0), "high0": F.lit(2.0 + 1e-9), "low1": F.lit(0.0), "high1": F.lit(2.0 + 1e-9)})
+    for _ in range(PASSES):
+        counted = _block_pairs(_attach(rows, state, by), by, count, T.StructType(fields)).groupBy(*by, "which", "bin").agg(F.sum("n").alias("n"))
+        upto = Window.partitionBy(*by, "which").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        total = F.sum("n").over(Window.partitionBy(*by, "which"))
+        wanted = F.floor((total - 1 + F.col("which")) / 2) + 1  # the two middle places
+        middle = counted.withColumns({"upto": F.sum("n").over(upto), "wanted": wanted}).filter("upto >= wanted")
+        middle = middle.groupBy(*by, "which").agg(F.min("bin").alias("bin"))
+        wide = middle.groupBy(*by).agg(*[F.max(F.when(F.col("which") == w, F.col("bin"))).alias(f"bin{w}") for w in (0, 1)])
+        nearer = {}
+        for w in (0, 1):
+            width = (F.col(f"high{w}") - F.col(f"low{w}")) / BINS
+            nearer[f"low{w}"] = F.col(f"low{w}") + width * F.col(f"bin{w}")
+            nearer[f"high{w}"] = F.col(f"low{w}") + width * (F.col(f"bin{w}") + 1)
+        state = freeze(_attach(wide, state, by).select(*by, *[v.alias(k) for k, v in nearer.items()]))
+    median = (F.col("low0") + F.col("high0") + F.col("low1") + F.col("high1")) / 4
+    gamma = F.coalesce(1.0 / (median * median + 1e-8), F.lit(1.0))
+    return _attach(rows.select(*by).distinct(), state, by, "left").select(*by, gamma.alias("gamma"))
+
+
+def kernel_sums(rows: DataFrame, by: Sequence[str], side: str) -> DataFrame:
+    """``by, side_a, side_b, total, pairs``: sums of exp(-gamma (1 - cos)^2) over all ordered pairs of rows.
+
+    ``rows`` holds ``by``, ``side``, ``item_id``, ``vec`` and ``gamma``; every pair of the group counts, a row with itself too.
+    """
+    by = list(by)
+    kind = rows.schema[side].dataType
+    fields = [rows.schema[c] for c in by] + [T.StructField("side_a", kind), T.StructField("side_b", kind), T.StructField("total", T.DoubleType()), T.StructField("pairs", T.LongType())]
 
-def _head(items: DataFrame, size: int, seed: int, columns: Sequence[str], id: str) -> pa.Table:
-    """The first ``size`` rows in hash order on the driver."""
-    return items.orderBy(hash_order(id, seed), id).limit(size).select(*columns).toArrow()
+    def sums(key, table):
+        a, b, s, same = _sides(table)
+        k = np.exp(-table.column("gamma")[0].as_py() * (1.0 - s) ** 2)
+        values = table.column(side)
+        names, code = np.unique(np.array([str(v) for v in values.to_pylist()]), return_inverse=True)
+        first = [int(np.flatnonzero(code == i)[0]) for i in range(len(names))]
+        ones_a, ones_b = np.eye(len(names))[code[a]], np.eye(len(names))[code[b]]
+        total, pairs = ones_a.T @ k @ ones_b, np.outer(ones_a.sum(0), ones_b.sum(0))
+        if not same:
+            total, pairs = total + total.T, pairs + pairs.T
+        i, j = np.nonzero(pairs)
+        keys = [pa.array([x.as_py()] * len(i), x.type) for x in key[: len(by)]]
+        sides = [pa.array([values[first[x]].as_py() for x in at], table.schema.field(side).type) for at in (i, j)]
+        return pa.table([*keys, *sides, pa.array(total[i, j]), pa.array(pairs[i, j].astype(np.int64))], names=[f.name for f in fields])
 
+    found = _block_pairs(rows, by, sums, T.StructType(fields))
+    return found.groupBy(*by, "side_a", "side_b").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
 
-def _mmd_by_site(unit: DataFrame, other, gamma, max_n: int, seed: int, site: str, id: str) -> DataFrame:
-    """MMD of every site's sample (at most ``max_n`` rows a group) against ``other(site) -> (ids, rows)``."""
-    own = _sampled(unit.select(site, id, "vec"), [site], max_n, seed, id)
 
-    def score(key, table):
-        table = table.sort_by(id)
-        a, ids = matrix(table.column("vec")), table.column(id).to_pylist()
-        other_ids, b = other(key[0].as_py())
-        value = None
-        if len(b):
-            value = mmd_value(a, b, gamma, _gamma_rows(ids, a, other_ids, b, seed))
-        return pa.table([pa.array([key[0].as_py()], table.schema.field(site).type), pa.array([value], pa.float64())],
-                        names=[site, "mmd2"])
+def _with_gamma(rows: DataFrame, by: Sequence[str], gamma: float | None) -> DataFrame:
+    if gamma is not None:
+        return rows.withColumn("gamma", F.lit(float(gamma)))
+    return _attach(rows, freeze(bandwidths(rows, by)), by)
 
-    schema = T.StructType([unit.schema[site], T.StructField("mmd2", T.DoubleType())])
-    return own.groupBy(site).applyInArrow(score, schema)
+
+def _mmd_of(sums: DataFrame, by: Sequence[str], inside) -> DataFrame:
+    """mean Kaa + mean Kbb - 2 mean Kab, where ``inside(side)`` says whether a side is a."""
+    a, b = inside("side_a"), inside("side_b")
+
+    def mean(which):
+        return F.sum(F.when(which, F.col("total"))) / F.sum(F.when(which, F.col("pairs")))
+
+    return sums.groupBy(*by).agg((mean(a & b) + mean(~a & ~b) - 2 * mean(a & ~b)).alias("mmd2"))
+
+
+def mmd_rbf(a: DataFrame, b: DataFrame, gamma: float | None = None, id: str = "item_id") -> float:
+    """MMD of two sets over all their rows; without ``gamma`` the bandwidth is the median distance."""
+    sides = [s.select(F.lit(0).alias("__set"), F.lit(name).alias("side"), F.concat(F.lit(name), F.col(id).cast("string")).alias("item_id"), "vec")
+             for name, s in (("a", a), ("b", b))]
+    rows = _with_gamma(sides[0].union(sides[1]), ["__set"], gamma)
+    found = _mmd_of(kernel_sums(rows, ["__set"], "side"), ["__set"], lambda c: F.col(c) == "a").first()
+    return float(found["mmd2"])
 
 
 # ------------------------------------------------------------------ rankings
@@ -139,23 +205,24 @@ def _eligible_units(items: DataFrame, min_n: int, site: str, id: str) -> DataFra
 
 
 def site_to_target(
-    items: DataFrame, target: DataFrame, min_n: int = 0, gamma: float | None = None, max_n: int = MMD_ROWS,
-    seed: int = 0, site: str = "site", id: str = "item_id",
+    items: DataFrame, target: DataFrame, min_n: int = 0, gamma: float | None = None, site: str = "site", id: str = "item_id",
 ) -> DataFrame:
-    """Every eligible site against the pooled target, nearest first."""
+    """Every eligible site against the pooled target, nearest first; all rows of both sets count."""
     aim = target.select(id, l2_normalize(F.col("vec"), 1e-8, "add").alias("vec"))
     center = constant(centroid_array(aim))
-    sample = _head(aim, max_n, seed, [id, "vec"], id).sort_by(id)
-    ids, rows = sample.column(id).to_pylist(), matrix(sample.column("vec"))
-    unit = _eligible_units(items, min_n, site, id).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        centers = aggregate_vectors(unit, site, "mean", count=True).select(
-            site, "n", _cosine_distance(F.col("vec"), center).alias("centroid_dist")
-        )
-        mmd = _mmd_by_site(unit, lambda _: (ids, rows), gamma, max_n, seed, site, id)
-        ranked = freeze(centers.join(mmd, site))  # one row per site
-    finally:
-        unit.unpersist()
+    unit = freeze(_eligible_units(items, min_n, site, id))
+    centers = aggregate_vectors(unit, site, "mean", count=True).select(
+        site, "n", _cosine_distance(F.col("vec"), center).alias("centroid_dist")
+    )
+    names = [r[0] for r in centers.select(site).collect()]
+    own = unit.select(site, F.lit("own").alias("side"), F.concat(F.lit("own"), F.col(id).cast("string")).alias("item_id"), "vec")
+    # The target stands beside every site: its rows are repeated once per site.
+    aims = aim.withColumn(site, F.explode(F.array(*[F.lit(x).cast(unit.schema[site].dataType) for x in names]))).select(
+        site, F.lit("aim").alias("side"), F.concat(F.lit("aim"), F.col(id).cast("string")).alias("item_id"), "vec"
+    )
+    rows = _with_gamma(own.union(aims), [site], gamma)
+    mmd = _mmd_of(kernel_sums(rows, [site], "side"), [site], lambda c: F.col(c) == "own")
+    ranked = freeze(centers.join(mmd, site))  # one row per site
     return ranked.orderBy("centroid_dist", "mmd2", site)
 
 
@@ -170,46 +237,27 @@ def _own_and_rest(unit: DataFrame, site: str) -> DataFrame:
     return sums.select(site, "n", _cosine_distance(own, rest).alias("centroid_dist"))
 
 
-def _rest_sampler(unit: DataFrame, max_n: int, seed: int, site: str, id: str):
-    """``rest_of(site) -> (ids, rows)``: the first ``max_n`` items of other sites in hash order.
-
-    The first 2*max_n items hold it for every site but one that owns more than half of
-    them, which gets a head of its own.
-    """
-    head = _head(unit, 2 * max_n, seed, [site, id, "vec"], id)
-    sites, ids = (np.array(head.column(c).to_pylist()) for c in (site, id))
-    rows = matrix(head.column("vec"))
-    names, counts = np.unique(sites, return_counts=True)
-    extra = None
-    if counts.max() > max_n:
-        large = names[counts.argmax()]
-        own_head = _head(unit.filter(F.col(site) != F.lit(large.item())), max_n, seed, [id, "vec"], id)
-        extra = large, np.array(own_head.column(id).to_pylist()), matrix(own_head.column("vec"))
-
-    def rest_of(name):
-        if extra is not None and name == extra[0]:
-            found, x = extra[1], extra[2]
-        else:
-            keep = np.flatnonzero(sites != name)[:max_n]
-            found, x = ids[keep], rows[keep]
-        order = np.argsort(found, kind="stable")
-        return found[order].tolist(), x[order]
-
-    return rest_of
-
-
 def site_vs_rest(
-    items: DataFrame, min_n: int = 10, topk: int = 3, gamma: float | None = None, max_n: int = MMD_ROWS,
-    seed: int = 0, site: str = "site", id: str = "item_id",
+    items: DataFrame, min_n: int = 10, topk: int = 3, gamma: float | None = None, site: str = "site", id: str = "item_id",
 ) -> DataFrame:
-    """Each eligible site against all other eligible sites, most shifted first."""
-    unit = _eligible_units(items, min_n, site, id).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        rest_of = _rest_sampler(unit, max_n, seed, site, id)
-        mmd = _mmd_by_site(unit, rest_of, gamma, max_n, seed, site, id)
-        ranked = freeze(_own_and_rest(unit, site).join(mmd, site))  # one row per site
-    finally:
-        unit.unpersist()
+    """Each eligible site against all other eligible sites, most shifted first; all rows count.
+
+    The union of a site and its rest is the same for all sites, and so is its bandwidth: one
+    pass sums the kernel for every pair of sites.
+    """
+    unit = freeze(_eligible_units(items, min_n, site, id))
+    rows = unit.select(F.lit(0).alias("__set"), F.col(site).alias("side"), F.col(id).alias("item_id"), "vec")
+    sums = freeze(kernel_sums(_with_gamma(rows, ["__set"], gamma), ["__set"], "side"))  # one row per pair of sites
+    whole = sums.agg(F.sum("total").alias("t"), F.sum("pairs").alias("p")).first()
+    per_site = sums.groupBy(F.col("side_a").alias(site)).agg(
+        F.sum("total").alias("row"), F.sum("pairs").alias("row_pairs"),
+        F.sum(F.when(F.col("side_a") == F.col("side_b"), F.col("total"))).alias("own"), F.sum(F.when(F.col("side_a") == F.col("side_b"), F.col("pairs"))).alias("own_pairs"),
+    )
+    rest = F.lit(whole.t) - 2 * F.col("row") + F.col("own")
+    rest_pairs = F.lit(whole.p) - 2 * F.col("row_pairs") + F.col("own_pairs")
+    cross = (F.col("row") - F.col("own")) / (F.col("row_pairs") - F.col("own_pairs"))
+    mmd = per_site.select(site, (F.col("own") / F.col("own_pairs") + rest / rest_pairs - 2 * cross).alias("mmd2"))
+    ranked = freeze(_own_and_rest(unit, site).join(mmd, site))  # one row per site
     place = Window.orderBy(F.desc("centroid_dist"), F.desc("mmd2"), F.asc(site))  # one row per site
     return (
         ranked.withColumn("rank", F.row_number().over(place))

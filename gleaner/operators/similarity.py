@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gleaner.functions.kernels import id_values, matrix, row_slices, unit_rows
 from gleaner.functions.ordering import first_rows
-from gleaner.session import BLOCK_BYTES, BROADCAST_BYTES
+from gleaner.session import BLOCK_BYTES, BROADCAST_BYTES, freeze
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,6 @@ def with_similarity(
     *,
     id: str = "item_id",
     vec: str = "vec",
-    right_id: str | None = None,
     weight: str | None = None,
     keep: Sequence[str] = (),
     eps: float = 1e-8,
@@ -119,7 +119,6 @@ def with_similarity(
     ``right`` given to the measures.
     """
     measures = tuple(measures)
-    right_id = right_id or id
     fields = [T.StructField(m.name, T.DoubleType()) for m in measures]
     extra = [weight] if weight else []
     small = fetch_bounded(right, vec, extra, broadcast_bytes)
@@ -144,6 +143,9 @@ def with_similarity(
         source = left.select(*dict.fromkeys([*carried, vec]))
         return source.mapInArrow(score_batches, schema)
 
+    # Partial results are merged by a row number, so that repeated ids stay rows of their own.
+    whole, out_id, id = freeze(left.select(*dict.fromkeys([id, vec, *keep])).withColumn("__row", F.monotonically_increasing_id())), id, "__row"
+    left = whole.select(id, vec)
     mine = fetch_bounded(left, vec, [id], broadcast_bytes)
     schema = T.StructType([left.schema[id]] + fields)
     names = [id] + [m.name for m in measures]
@@ -191,17 +193,16 @@ def with_similarity(
             [id_field_of(left, id)] + [pa.field(m.name, pa.float64()) for m in measures]
         )
         a = spread(left.select(id, vec), F.xxhash64(id), "__a", left_blocks, "__b", right_blocks)
-        b = spread(right.select(right_id, vec, *extra), F.xxhash64(right_id), "__b", right_blocks, "__a", left_blocks)
+        b = spread(right.select(vec, *extra), F.xxhash64(vec), "__b", right_blocks, "__a", left_blocks)
         pairs = a.groupBy("__a", "__b").cogroup(b.groupBy("__a", "__b"))
         merged = _merged(pairs.applyInArrow(block_pair, schema), id, measures)
-    others = [c for c in keep if c != id]
-    return left.select(id, *others).join(merged, id) if others else merged
+    carried = list(dict.fromkeys([out_id, *keep]))
+    return whole.select("__row", *carried).join(merged, "__row").drop("__row")
 
 
 def id_field_of(df: DataFrame, column: str) -> pa.Field:
-    """Arrow field of an id column (string or an integer type)."""
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
-    return pa.field(column, kinds[df.schema[column].dataType.simpleString()])
+    """Arrow field of an id column of any type."""
+    return pa.field(column, to_arrow_type(df.schema[column].dataType))
 
 
 def block_count(df: DataFrame, vec: str, block_bytes: int) -> int:

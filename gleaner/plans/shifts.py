@@ -40,7 +40,7 @@ def mmd_rbf(spark, sf):
     return target(spark, sf).groupBy().agg(F.lit(round(value, 6) + 0.0).alias("mmd2"))
 
 
-#: Both bandwidth and kernel means per site; sets are below the sampling bounds here.
+#: Both bandwidth and kernel means per site.
 _SITE_TARGET = f"""WITH {SQL_ITEMS}, {_MEANS}, {sql_mean('q', 'u', 't')},
     m AS (SELECT site, max(n) AS n, list(x / n ORDER BY i) AS c FROM sums WHERE site <> 0 GROUP BY 1),
     d AS (SELECT site, n, 1 - list_inner_product(m.c, t.c) / ((sqrt(list_inner_product(m.c, m.c)) + 1e-8) * (sqrt(list_inner_product(t.c, t.c)) + 1e-8)) AS centroid_dist FROM m, t),
@@ -84,7 +84,7 @@ def separability_folds(spark, sf):
 
 @query("domain_separability")
 def domain_separability(spark, sf):
-    return shift.domain_separability(items(spark, sf), max_iter=50)
+    return shift.domain_separability(items(spark, sf))
 
 
 def _subsets(spark, sf):

@@ -11,7 +11,6 @@ from gleaner.operators.scores import nested_budgets
 from gleaner.operators.similarity import (
     max_similarity,
     nearest_items,
-    softmax,
     sum_positive,
     sum_similarity,
     with_similarity,
@@ -109,10 +108,13 @@ def nearest_pairs(spark, sf):
     )
 
 
-@query("pair_softmax", f"""{_NEAR} SELECT query_id, item_id, round(exp(5 * sim) / sum(exp(5 * sim)) OVER (PARTITION BY query_id), 6) + 0.0 AS weight
-    FROM near WHERE position <= 20""")
+@query("pair_softmax", f"""WITH {SQL_ITEMS}, {SQL_PAIRS}, near AS (SELECT q_id AS query_id, item_id, row_number() OVER (
+      PARTITION BY q_id ORDER BY round(s, 12) DESC, item_id) AS position, exp(5 * s) / sum(exp(5 * s)) OVER (PARTITION BY q_id) AS weight FROM pairs)
+    SELECT query_id, item_id, round(weight, 6) + 0.0 AS weight FROM near WHERE position <= 20""")
 def pair_softmax(spark, sf):
-    weighted = softmax(_near(spark, sf), "sim", ["query_id"], temperature=0.2)
+    """Softmax of each target item over the whole pool, for its 20 nearest pool items."""
+    mass = with_similarity(target(spark, sf), pool(spark, sf), [exp_mass(5.0)]).withColumnRenamed("item_id", "query_id")
+    weighted = _near(spark, sf).join(mass, "query_id").withColumn("weight", F.exp(5.0 * (F.col("sim") - 1.0)) / F.col("exp_mass"))
     return weighted.select("query_id", "item_id", r6("weight").alias("weight"))
 
 
@@ -446,7 +448,7 @@ def kmeans_by_size(spark, sf):
 
 @query("kmeans_fit")
 def kmeans_fit(spark, sf):
-    return _ranking(selection.kmeans_select(pool(spark, sf), BUDGET, n_init=2, max_iter=20))
+    return _ranking(selection.kmeans_select(pool(spark, sf), BUDGET))
 
 
 @query("random_select", f"""WITH {SQL_ITEMS}, o AS (SELECT item_id, row_number() OVER (ORDER BY md5('42:' || item_id), item_id) AS r FROM pool)
@@ -468,6 +470,17 @@ def score_all(spark, sf):
     return found.select("method", "item_id", r6("score").alias("score"))
 
 
+@query("score_all_methods", """WITH pool AS (SELECT vec_id FROM embeddings WHERE label <> 0)
+    SELECT m AS method, count(DISTINCT vec_id) AS n_items, count(*) AS n_scores FROM pool,
+      (SELECT unnest(['craig', 'craig_proxy', 'diversity', 'gradmatch', 'gradmatch_mp', 'herding', 'kcenter', 'kmeans', 'less', 'orient', 'random', 'rds']) AS m) GROUP BY 1""")
+def score_all_methods(spark, sf):
+    """Every registered method gives every pool item exactly one score."""
+    data, aim = pool(spark, sf), target(spark, sf)
+    found = selection.score_all(selection.methods(), BUDGET, pool=data, query=aim, pool_grads=gradients(data), query_grads=gradients(aim))
+    scored = found.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    return scored.groupBy("method").agg(F.count_distinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_scores"))
+
+
 # ------------------------------------------------------------------ vector aggregation
 
 

@@ -33,14 +33,16 @@ def local_session(app: str, cores: int | str = "*", partitions: int = 8) -> Spar
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Point Spark at the cluster's shared checkpoint folder.
 
-    A folder of our own is made only where the session names none, which is the
-    case in local runs.
+    Where the session names none, a local run gets a folder of its own; on a cluster that is
+    an error, since the executors don't share the driver's disk.
     """
     context = spark.sparkContext
     active = context.getCheckpointDir()
     if active:
         return active
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -48,30 +48,31 @@ def test_mmd_and_centroid_distance(spark):
     assert shift.centroid_cosine_distance(left, right) == pytest.approx(want)
 
 
-def test_sampled_mmd_does_not_depend_on_partitions(spark):
-    _, df = sited(spark, {"A": 40, "B": 60}, gap=1.0)
-    runs = {shift.mmd_rbf(df.repartition(n).filter("site = 'A'"), df.repartition(n).filter("site = 'B'"), max_n=15) for n in (1, 5)}
-    assert len(runs) == 1
+def test_mmd_takes_all_rows_whatever_the_blocks(spark, monkeypatch):
+    rows, df = sited(spark, {"A": 40, "B": 61}, gap=1.0)
+    a, b = ([r[2] for r in rows if r[1] == s] for s in "AB")
+    d = 1 - unit(a + b) @ unit(a + b).T
+    want = mmd(a, b, 1 / (np.median(d[np.triu_indices(101, 1)]) ** 2 + 1e-8))
+    for block in (2000, 9):
+        monkeypatch.setattr(shift, "BLOCK_ROWS", block)
+        assert shift.mmd_rbf(df.filter("site = 'A'"), df.filter("site = 'B'")) == pytest.approx(want)
 
 
-def test_site_against_rest_with_a_dominant_site(spark):
-    """One site owns most rows, more than the shared head can make up for."""
+def test_site_against_rest_with_a_dominant_site(spark, monkeypatch):
+    """One site owns most rows; given and own bandwidth."""
     rows, df = sited(spark, {"big": 80, "s1": 12, "s2": 12}, gap=0.8)
     everything = {r["site"]: r for r in shift.site_vs_rest(df, min_n=10, gamma=1.0, topk=2).collect()}
     for s in ("big", "s1", "s2"):
         a, b = [r[2] for r in rows if r[1] == s], [r[2] for r in rows if r[1] != s]
         assert everything[s]["mmd2"] == pytest.approx(mmd(a, b, 1.0))
         assert everything[s]["n"] == len(a)
-    small = {r["site"]: r["mmd2"] for r in shift.site_vs_rest(df, min_n=10, gamma=1.0, max_n=9).collect()}
-    assert set(small) == {"big", "s1", "s2"}
-    import hashlib
-
-    u = {r[0]: unit([r[2]])[0] for r in rows}
-    key = lambda i: (hashlib.md5(f"0:{i}".encode()).hexdigest(), i)
-    for s in small:
-        own = sorted((r[0] for r in rows if r[1] == s), key=key)[:9]
-        rest = sorted((r[0] for r in rows if r[1] != s), key=key)[:9]
-        assert small[s] == pytest.approx(mmd([u[i] for i in own], [u[i] for i in rest], 1.0))
+    every = [r[2] for r in rows]
+    d = 1 - unit(every) @ unit(every).T
+    gamma = 1 / (np.median(d[np.triu_indices(len(every), 1)]) ** 2 + 1e-8)
+    monkeypatch.setattr(shift, "BLOCK_ROWS", 25)
+    own = {r["site"]: r["mmd2"] for r in shift.site_vs_rest(df, min_n=10).collect()}
+    for s in ("big", "s1", "s2"):
+        assert own[s] == pytest.approx(mmd([r[2] for r in rows if r[1] == s], [r[2] for r in rows if r[1] != s], gamma))
 
 
 def test_site_to_target_orders_by_distance(spark):
