@@ -76,6 +76,19 @@ def site_vs_rest(spark, sf):
     )
 
 
+@query("site_vs_rest_auto", f"""WITH {SQL_ITEMS}, el AS (SELECT site FROM items GROUP BY 1 HAVING count(*) >= 10),
+    pr AS MATERIALIZED (SELECT a.site AS sa, b.site AS sb, a.item_id AS ai, b.item_id AS bi, 1 - list_inner_product(a.u, b.u) AS g
+      FROM items a JOIN el ea ON ea.site = a.site, items b JOIN el eb ON eb.site = b.site),
+    gm AS (SELECT 1 / (pow(median(g), 2) + 1e-8) AS gamma FROM pr WHERE ai < bi AND g > 0),
+    k AS MATERIALIZED (SELECT sa, sb, sum(exp(-gamma * g * g)) AS t, count(*) AS p FROM pr, gm GROUP BY 1, 2)
+    SELECT el.site, round(sum(t) FILTER (sa = el.site AND sb = el.site) / sum(p) FILTER (sa = el.site AND sb = el.site)
+      + sum(t) FILTER (sa <> el.site AND sb <> el.site) / sum(p) FILTER (sa <> el.site AND sb <> el.site)
+      - 2 * sum(t) FILTER (sa = el.site AND sb <> el.site) / sum(p) FILTER (sa = el.site AND sb <> el.site), 6) + 0.0 AS mmd2 FROM el, k GROUP BY 1""")
+def site_vs_rest_auto(spark, sf):
+    """With the bandwidth counted from all pairs."""
+    return shift.site_vs_rest(items(spark, sf)).select("site", r6("mmd2").alias("mmd2"))
+
+
 @query("separability_folds", """SELECT label AS site, (row_number() OVER (PARTITION BY label ORDER BY md5('0:' || vec_id), vec_id) - 1) % 5 AS fold,
     vec_id AS item_id FROM embeddings""")
 def separability_folds(spark, sf):

@@ -9,6 +9,7 @@ from gleaner.functions.vectors import constant, distance, l2_normalize, parse_se
 from gleaner.operators import aggregate, selection
 from gleaner.operators.scores import nested_budgets
 from gleaner.operators.similarity import (
+    exp_mass,
     max_similarity,
     nearest_items,
     sum_positive,
