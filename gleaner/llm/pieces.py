@@ -168,13 +168,13 @@ class Lattices:
         bare = ~single[chars]
         starts_here = np.concatenate((starts_here, chars[bare]))
         size, piece = np.concatenate((size, length[bare])), np.concatenate((piece, np.full(int(bare.sum()), -1)))
-        order = np.lexsort((-size, starts_here))
+        order = np.argsort(starts_here * (self.longest + 1) - size)
         starts_here, size, piece = starts_here[order], size[order], piece[order]
         worst = self.vocabulary.scores[-1]
         weight = self.alpha * np.where(piece >= 0, self.vocabulary.scores[piece], worst * (size + 1))
         # Log-sum of all ways to the end, from the last position back.
         back = np.zeros(n)
-        by_left = np.argsort(left[starts_here], kind="stable")
+        by_left = np.argsort(left[starts_here].astype(np.int16), kind="stable")
         cuts = np.searchsorted(left[starts_here][by_left], np.arange(1, int(sizes.max()) + 2))
         for d in range(len(cuts) - 1):
             edges = by_left[cuts[d] : cuts[d + 1]]
@@ -222,8 +222,8 @@ class Lattices:
             at = at + self.edge_size[edge]
         if not out:
             return who[:0], at[:0], at[:0]
-        who, at, edge = (np.concatenate(x) for x in zip(*out))
-        order = np.argsort(who, kind="stable")
+        who, at, edge = (np.concatenate(x) for x in zip(*out))  # a unit has fewer steps than 2 * UNIT_BYTES
+        order = np.argsort(who * (2 * UNIT_BYTES) + np.repeat(np.arange(len(out)), [len(x[0]) for x in out]))
         return who[order], at[order], edge[order]
 
 

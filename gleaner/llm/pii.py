@@ -156,9 +156,10 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _document_counts(wanted: np.ndarray | None):
-    """Texts -> ``term, documents`` of each piece, for the wanted terms or all."""
+    """Texts -> ``term, documents`` for the wanted terms or all, summed over the task as far as memory allows."""
 
     def run(batches):
+        terms, documents = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, data, offsets in pieces(batch.column(0)):
                 words = Words(data, offsets)
@@ -171,8 +172,14 @@ def _document_counts(wanted: np.ndarray | None):
                 keys, rows = keys[order], rows[order]
                 new = np.ones(len(keys), bool)
                 new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
-                terms, counts = np.unique(keys[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts, pa.int64())], names=["term", "documents"])
+                keys = np.concatenate((terms, keys[new]))
+                counts = np.concatenate((documents, np.ones(int(new.sum()), np.int64)))
+                terms, inverse = np.unique(keys, return_inverse=True)
+                documents = np.bincount(inverse, counts, len(terms)).astype(np.int64)
+                if len(terms) > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(documents)], names=["term", "documents"])
+                    terms, documents = terms[:0], documents[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(documents)], names=["term", "documents"])
 
     return run
 
