@@ -7,7 +7,8 @@ with the corpus as the source of probabilities, the pointwise mutual information
 ``-log2(n(entity) / N)``. Words whose share reaches ``GENERALISE`` are replaced by a general term,
 from ``REMOVE`` on they are removed. Counts are of documents and cover the whole corpus.
 A word must stand in ``LEAST_CONTEXTS`` different contexts of the entity: a single context,
-however often it is copied, says nothing about what belongs together.
+however often it is copied, says nothing about what belongs together. What one document says near an
+entity is one context, and near copies of it mostly count as the same.
 """
 
 from __future__ import annotations
@@ -141,16 +142,22 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for a, k, b in spans:
                     entity = _entity(k, text[a:b])
                     around = [(x, y) for x, y in _near(text, a, b) if all(y <= s or x >= e for s, _, e in spans)]
-                    context = hashlib.blake2b(" ".join(text[x:y] for x, y in around).encode(), digest_size=8).digest()
                     for x, y in around:
-                        rows.append({"entity": entity, "term": None, "context": int.from_bytes(context, "little", signed=True), "start": x, "end": y})
+                        rows.append({"entity": entity, "term": None, "context": None, "start": x, "end": y})
                         words.append(text[x:y])
                 near.append(rows)
             if words:
                 keys = iter(_term_keys(words).tolist())
                 for rows in near:
+                    seen: dict[int, set[int]] = {}
                     for row in rows:
                         row["term"] = next(keys)
+                        seen.setdefault(row["entity"], set()).add(row["term"])
+                    # All that a document says near an entity is one context, named by its two
+                    # smallest keys: near copies of a document mostly have the same.
+                    names_of = {e: hash(tuple(sorted(terms)[:2])) for e, terms in seen.items()}
+                    for row in rows:
+                        row["context"] = names_of[row["entity"]]
             columns = [part.column(0), part.column(1), *[pa.array([c[i] for c in counts], pa.int64()) for i in range(4)], hashes, bases, near]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(columns, _FOUND_TYPES)], names=names)
 
