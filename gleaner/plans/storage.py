@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gleaner.operators.scores import rank_normalize
+from gleaner.operators.search import append_generation
 from gleaner.operators.selection import rds_max
 from gleaner.plans.registry import KS, SQL_ITEMS, SQL_PAIRS, SQL_SCORES, items, pool, query, r6, scores, table, target
 from gleaner.session import ensure_checkpoint_dir
@@ -80,6 +81,58 @@ def selection_store(spark, sf):
     return writers.read_selection(spark, path).scores.select("item_id", r6("score").alias("score"))
 
 
+@query("selection_ranking", f"""WITH {SQL_ITEMS}, {SQL_PAIRS}, sc AS (SELECT item_id, max(s) AS s FROM pairs GROUP BY 1)
+    SELECT 'rds_max' AS method, 20 AS budget, row_number() OVER (ORDER BY s DESC, item_id) AS rank, item_id, round(s, 6) + 0.0 AS gain FROM sc
+    ORDER BY s DESC, item_id LIMIT 20""")
+def selection_ranking(spark, sf):
+    """Ranking, method and budget of a stored selection."""
+    path = _folder(spark, "ranking")
+    writers.write_selection(rds_max(pool(spark, sf), target(spark, sf), 20), path)
+    found = writers.read_selection(spark, path)
+    return found.ranking.select(F.lit(found.method).alias("method"), F.lit(found.budget).alias("budget"), "rank", "item_id", r6("gain").alias("gain"))
+
+
+@query("selected_ids", f"""WITH {SQL_ITEMS}, {SQL_PAIRS}, sc AS (SELECT item_id, max(s) AS s FROM pairs GROUP BY 1)
+    SELECT row_number() OVER (ORDER BY s DESC, item_id) - 1 AS position, item_id::VARCHAR AS item_id FROM sc ORDER BY s DESC, item_id LIMIT 20""")
+def selected_ids(spark, sf):
+    """A selection as one JSON object whose list gives the order; the second of two possible keys is used."""
+    path = _folder(spark, "selected")
+    picks = rds_max(pool(spark, sf), target(spark, sf), 20).ranking
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.col("item_id").cast("string").alias("id"))))
+    picks.agg(F.transform(listed, lambda x: x["id"]).alias("selected")).coalesce(1).write.json(path)
+    found = readers.read_selected_ids(spark, path)
+    return found.select(F.col("position").cast("long").alias("position"), "item_id")
+
+
+@query("site_lists", "SELECT label::VARCHAR AS site, vec_id::VARCHAR AS subject_id FROM embeddings")
+def site_lists(spark, sf):
+    """One text file per site, named after it."""
+    folder = _folder(spark, "sites")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = items(spark, sf).select(F.col("site").cast("string").alias("site"), F.col("item_id").cast("string").alias("line"))
+    rows.repartition("site").write.partitionBy("site").text(f"{folder}-parts")
+    files.mkdirs(jvm.Path(folder))
+    for part in files.globStatus(jvm.Path(f"{folder}-parts/site=*/part-*")):  # one file per site
+        site = part.getPath().getParent().getName().removeprefix("site=")
+        files.rename(part.getPath(), jvm.Path(f"{folder}/{site}.txt"))
+    return readers.read_site_lists(spark, folder)
+
+
+@query("search_history", """SELECT year(o_orderdate) - 1995 AS gen, count(*) AS n, round(max(o_totalprice), 2) AS best FROM orders
+    WHERE year(o_orderdate) < 1998 GROUP BY 1""")
+def search_history(spark, sf):
+    """Generations appended one after another to the history, which is then read back."""
+    path = _folder(spark, "history")
+    orders = table(spark, sf, "orders").select(
+        (F.year("o_orderdate") - 1995).cast("int").alias("gen"), F.col("o_orderkey").alias("cand"), F.col("o_totalprice").alias("fitness")
+    )
+    for gen in range(3):
+        append_generation(orders.filter(F.col("gen") == gen), path)
+    stored = spark.read.parquet(path)
+    return stored.groupBy(F.col("gen").cast("long").alias("gen")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("fitness"), 2).alias("best"))
+
+
 @query("vector_store", "SELECT count(*) AS n_items, 64 AS dim FROM embeddings")
 def vector_store(spark, sf):
     path = _folder(spark, "vectors")

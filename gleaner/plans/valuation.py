@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.kernels import matrix
 from gleaner.functions.vectors import constant, distance, l2_normalize, parse_seeds, project_simplex, rank_weights
 from gleaner.operators import aggregate, selection
-from gleaner.operators.scores import nested_budgets
+from gleaner.operators.scores import nested_budgets, order_scores
 from gleaner.operators.similarity import (
     exp_mass,
     max_similarity,
@@ -482,6 +482,12 @@ def score_all_methods(spark, sf):
     return scored.groupBy("method").agg(F.count_distinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_scores"))
 
 
+@query("order_by_gain", f"""WITH {SQL_ITEMS}, {SQL_PAIRS} SELECT item_id, round(max(s), 6) + 0.0 AS score FROM pairs GROUP BY 1 ORDER BY max(s) DESC, item_id LIMIT {BUDGET}""")
+def order_by_gain(spark, sf):
+    found = order_scores(selection.rds_max(pool(spark, sf), target(spark, sf), BUDGET).ranking, "gain")
+    return found.select("item_id", r6("score").alias("score"))
+
+
 # ------------------------------------------------------------------ vector aggregation
 
 
