@@ -20,7 +20,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 #: Largest number of labelled documents that rules are learned from, the first by hash of the id.
 LABELLED = 20_000
-#: Cuts of each feature, at its quantiles.
+#: Cuts of each feature, at its quantiles among the good and among the bad.
 CUTS = 32
 MAX_RULES, MAX_CONDITIONS = 16, 4
 #: A rule is kept when it covers this many bad documents of the pruning part, this precisely.
@@ -136,8 +136,12 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> list[tuple[Condition
             good = bad = 0
             for b, cut in enumerate(cuts[name]):
                 good, bad = (x + y for x, y in zip((good, bad), table.get((f, b), (0, 0))))
-                for above, counts in ((False, (good, bad)), (True, (good0 - good, bad0 - bad))):
-                    best = max(best, (_gain(good0, bad0, *counts), (f, b, above, cut)), key=lambda x: x[0])
+                below, beyond = _gain(good0, bad0, good, bad), _gain(good0, bad0, good0 - good, bad0 - bad)
+                if below > best[0]:
+                    best = (below, (f, b, False, cut))
+                # Of equally good cuts the one that rejects least.
+                if beyond > best[0] or beyond == best[0] and best[1] and best[1][0] == f and best[1][2]:
+                    best = (beyond, (f, b, True, cut))
         if best[1] is None:
             break
         f, b, above, cut = best[1]
@@ -147,6 +151,22 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> list[tuple[Condition
     return rule
 
 
+def _between(rules: list[list[Condition]], rows: DataFrame) -> list[list[Condition]]:
+    """The same rules with each cut moved midway between the labelled values on both sides of it."""
+    conditions = [c for rule in rules for c in rule]
+    if not conditions:
+        return rules
+    row = rows.agg(*[
+        edge(F.when(F.col(c.feature) > c.cut if above else F.col(c.feature) <= c.cut, F.col(c.feature))).alias(f"{i}{above}")
+        for i, c in enumerate(conditions) for edge, above in ((F.max, False), (F.min, True))
+    ]).first()
+    moved = iter([
+        c if row[f"{i}False"] is None or row[f"{i}True"] is None else Condition(c.feature, c.above, (row[f"{i}False"] + row[f"{i}True"]) / 2)
+        for i, c in enumerate(conditions)
+    ])
+    return [[next(moved) for _ in rule] for rule in rules]
+
+
 def _meets(rule: list[tuple[Condition, int]]) -> Column:
     names, out = list(FEATURES), F.lit(True)
     for condition, b in rule:
@@ -169,15 +189,16 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> list[list[Con
     known = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(sample), "__id")
     rows = scratch.save(measure(known).select("__id", "bad", base_failed().alias("failed"), *[feature(n).alias(n) for n in FEATURES]), "labelled").filter("NOT failed")
     grow = F.pmod(F.xxhash64(F.lit("part"), "__id"), F.lit(3)) > 0
-    quantiles = [i / CUTS for i in range(1, CUTS)]
-    found = rows.filter(grow).agg(*[F.percentile_approx(n, quantiles, 10_000).alias(n) for n in FEATURES]).first()
-    if found is None or found[0] is None:
+    quantiles = [i / CUTS for i in range(CUTS)]
+    # Where most good documents have none of something, only the bad ones' quantiles tell amounts apart.
+    found = rows.filter(grow).groupBy("bad").agg(*[F.percentile_approx(n, quantiles, 10_000).alias(n) for n in FEATURES]).collect()
+    if len(found) < 2:
         return []
-    cuts = {n: sorted({x for x in found[n]}) for n in FEATURES}
+    cuts = {n: sorted({x for row in found for x in row[n]}) for n in FEATURES}
     bins = F.array(*[
         F.aggregate(F.array(*[(F.col(n) > c).cast("int") for c in cuts[n]]), F.lit(0), lambda a, x: a + x) for n in FEATURES
     ])
-    rows = scratch.save(rows.select(bins.alias("bins"), "bad", grow.alias("grow")), "binned")
+    rows = scratch.save(rows.select(bins.alias("bins"), "bad", grow.alias("grow"), *FEATURES), "binned")
     rules, left = [], rows
     while len(rules) < MAX_RULES:
         rule = _grow(left.filter("grow"), cuts)
@@ -196,6 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> list[list[Con
             break
         rules.append([condition for condition, _ in prefixes[i]])
         left = left.filter(~_meets(prefixes[i]))
+    rules = _between(rules, rows)
     scratch.drop("sample", "labelled", "binned")
     return rules
 
