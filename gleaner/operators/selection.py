@@ -89,7 +89,7 @@ def methods() -> list[str]:
 
 def get_method(name: str) -> Method:
     if name not in _METHODS:
-        raise ValueError(f"no method is registered as {name!r}, only {', '.join(methods())}")
+        raise ValueError(f"{name!r} is not among the available methods: {', '.join(methods())}")
     return _METHODS[name]
 
 
