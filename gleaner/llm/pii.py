@@ -1,14 +1,13 @@
-"""Personal data: fixed patterns, and information-theoretic sanitisation of what stands near them.
+"""Personal data: fixed patterns, and information-theoretic sanitisation of the words that go with them.
 
 The entities to protect are the e-mail addresses, IP addresses, card and phone numbers that the
-patterns find. A word near an entity discloses it as far as it tells which entity is meant:
+patterns find. A word in a document that names an entity discloses it as far as it tells which entity is meant:
 with the corpus as the source of probabilities, the pointwise mutual information
 ``log2(N * n(entity, word) / (n(entity) * n(word)))`` is set against the information of the entity,
 ``-log2(n(entity) / N)``. Words whose share reaches ``GENERALISE`` are replaced by a general term,
-from ``REMOVE`` on they are removed. Counts are of documents and cover the whole corpus.
-A word must stand in ``LEAST_CONTEXTS`` different contexts of the entity: a single context,
-however often it is copied, says nothing about what belongs together. What one document says near an
-entity is one context, and near copies of it mostly count as the same.
+from ``REMOVE`` on they are removed, in every text that holds them. Counts are of documents, whole texts all of them.
+A word must stand with the entity in two different contexts: a single context,
+however often it is copied, says nothing about what belongs together. A document is one context, and copies of it are the same.
 """
 
 from __future__ import annotations
@@ -19,18 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.katz import _places as _filter_places
+from gleaner.llm.katz import key_filter
 from gleaner.llm.scratch import Scratch
 from gleaner.llm.text import Words, pieces
 
 KINDS = ("email", "ip", "card", "phone", "term")
 GENERALISE, REMOVE = 0.5, 0.8
-LEAST_CONTEXTS = 2
-#: Words on each side of an entity, and the characters in which they are looked for.
-NEAR_WORDS, NEAR_CHARS = 10, 400
-#: Words shipped to every task for counting (8 bytes each), and rows of found words; beyond it they are joined.
+#: Words shipped to every task (8 bytes each), for counting and for finding them again; beyond it they are joined. Also the most
+#: entities, and the most places of words, that are broadcast.
 SHIPPED = 500_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -91,77 +91,105 @@ def _entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _near(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Spans of the whole words before and after an entity."""
-    left = max(0, start - NEAR_CHARS)
-    words = [(m.start() + left, m.end() + left) for m in _WORD.finditer(text[left:start])]
-    if words and left and words[0][0] == left:
-        words = words[1:]  # may have begun earlier
-    if words and words[-1][1] == start:
-        words = words[:-1]  # runs into the entity
-    stop = min(len(text), end + NEAR_CHARS)
-    after = [(m.start() + end, m.end() + end) for m in _WORD.finditer(text[end:stop])]
-    if after and after[0][0] == end:
-        after = after[1:]
-    if after and stop < len(text) and after[-1][1] == stop:
-        after = after[:-1]
-    return words[-NEAR_WORDS:] + after[:NEAR_WORDS]
-
-
 _FOUND = (
     "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-    "base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,context:long,start:int,end:int>>"
+    "base array<struct<start:int,kind:int,end:int>>, entities array<long>, text string"
 )
 _FOUND_TYPES = [
     pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(),
-    pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])),
-    pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])),
+    pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64()), pa.string(),
 ]
 
 
-def _term_keys(words: list[str]) -> np.ndarray:
-    """The same keys that counting the corpus gives to these words."""
-    data = [w.encode() for w in words]
-    offsets = np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
-    return Words(np.frombuffer(b"".join(data), np.uint8), offsets).hashes().astype(np.int64)
-
-
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split(" ")[0] for f in _FOUND.split(", ")[:7]] + ["base", "near"]
+    """Pattern spans of every text, with the different entities; texts that have some are kept."""
+    names = [f.split(" ")[0] for f in _FOUND.split(", ")[:7]] + ["base", "entities", "text"]
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            counts, hashes, bases, near, words = [], [], [], [], []
+            counts, hashes, bases, entities = [], [], [], []
             for text in part.column(2):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 counts.append([sum(k == kind for _, k, _ in spans) for kind in range(4)])
                 hashes.append(hashlib.sha256(span_string(spans).encode()).hexdigest())
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-                rows = []
-                for a, k, b in spans:
-                    entity = _entity(k, text[a:b])
-                    around = [(x, y) for x, y in _near(text, a, b) if all(y <= s or x >= e for s, _, e in spans)]
-                    for x, y in around:
-                        rows.append({"entity": entity, "term": None, "context": None, "start": x, "end": y})
-                        words.append(text[x:y])
-                near.append(rows)
-            if words:
-                keys = iter(_term_keys(words).tolist())
-                for rows in near:
-                    seen: dict[int, set[int]] = {}
-                    for row in rows:
-                        row["term"] = next(keys)
-                        seen.setdefault(row["entity"], set()).add(row["term"])
-                    # All that a document says near an entity is one context, named by its two
-                    # smallest keys: near copies of a document mostly have the same.
-                    names_of = {e: hash(tuple(sorted(terms)[:2])) for e, terms in seen.items()}
-                    for row in rows:
-                        row["context"] = names_of[row["entity"]]
-            columns = [part.column(0), part.column(1), *[pa.array([c[i] for c in counts], pa.int64()) for i in range(4)], hashes, bases, near]
+                entities.append(sorted({_entity(k, text[a:b]) for a, k, b in spans}))
+            kept = pc.if_else(pa.array([bool(e) for e in entities], pa.bool_()), part.column(2), None).cast(pa.string())
+            columns = [part.column(0), part.column(1), *[pa.array([c[i] for c in counts], pa.int64()) for i in range(4)], hashes, bases, entities, kept]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(columns, _FOUND_TYPES)], names=names)
 
 
+def _outside(words: Words, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, clear) of each word, in code points of its text; it is clear when no span of ``rows`` touches it."""
+    chars = np.concatenate(([0], np.cumsum(data & 0xC0 != 0x80)))
+    first = chars[offsets[:-1]]
+    start, end = chars[words.starts], chars[words.ends]
+    edge = np.zeros(int(chars[-1]) + 1, np.int64)
+    if len(rows):
+        np.add.at(edge, first[rows] + spans[:, 0], 1)
+        np.add.at(edge, first[rows] + spans[:, 1], -1)
+    covered = np.concatenate(([0], np.cumsum(np.cumsum(edge)[:-1] > 0)))
+    return start - first[words.rows], end - first[words.rows], covered[start] == covered[end]
+
+
+def _span_rows(bases: list[list[Span]]) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.repeat(np.arange(len(bases)), [len(spans) for spans in bases])
+    return rows, np.array([(a, b) for spans in bases for a, _, b in spans], np.int64).reshape(-1, 2)
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``text, base, *others`` -> ``terms, *others``: the different words of each whole text outside its spans."""
+    for batch in batches:
+        for row, data, offsets in pieces(batch.column(0).cast(pa.large_binary())):
+            n = len(offsets) - 1
+            bases = [[(x["start"], x["kind"], x["end"]) for x in base] for base in batch.column(1).slice(row, n).to_pylist()]
+            words = Words(data, offsets)
+            clear = _outside(words, data, offsets, *_span_rows(bases))[2]
+            keys, rows = words.hashes().astype(np.int64)[clear], words.rows[clear]
+            order = np.lexsort((keys, rows))
+            keys, rows = keys[order], rows[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+            bounds = np.searchsorted(rows[new], np.arange(n + 1)).astype(np.int32)
+            terms = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[new]))
+            yield pa.RecordBatch.from_arrays([terms, *[c.slice(row, n) for c in batch.columns[2:]]], names=["terms", *batch.schema.names[2:]])
+
+
+_PLACES = "key long, term long, start int, end int, removed boolean"
+
+
+def _places(wanted: np.ndarray, removed: np.ndarray | None, bits: np.ndarray | None = None):
+    """``key, text`` -> the places of the wanted words, or of those that the filter may hold and that are not wanted."""
+
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in pieces(batch.column(1)):
+                words = Words(data, offsets)
+                terms = words.hashes().astype(np.int64)
+                at, hit = np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
+                if len(wanted):
+                    at = np.minimum(np.searchsorted(wanted, terms), len(wanted) - 1)
+                    hit = wanted[at] == terms
+                if bits is not None:
+                    hit = ~hit
+                    for place in _filter_places(terms.astype(np.uint64)):
+                        hit &= (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                if not hit.any():
+                    continue
+                bases = [[]] * (len(offsets) - 1)
+                for r in np.unique(words.rows[hit]).tolist():
+                    bases[r] = base_spans(data[offsets[r] : offsets[r + 1]].tobytes().decode())
+                start, end, clear = _outside(words, data, offsets, *_span_rows(bases))
+                hit &= clear
+                gone = removed[at[hit]] if bits is None else np.zeros(int(hit.sum()), bool)
+                keys = batch.column(0).slice(row, len(offsets) - 1).take(pa.array(words.rows[hit]))
+                columns = [keys, pa.array(terms[hit]), pa.array(start[hit], pa.int32()), pa.array(end[hit], pa.int32()), pa.array(gone)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "term", "start", "end", "removed"])
+
+    return run
+
+
 def _document_counts(wanted: np.ndarray | None):
     """Texts -> ``term, documents`` for the wanted terms or all, summed over the task as far as memory allows."""
 
@@ -195,38 +223,88 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id.cast("long"), text.cast("string"))
 
 
+def _contexts(held: DataFrame) -> DataFrame:
+    """``key, context``: a context is a text, whatever the number of its copies."""
+    return held.select("key", F.xxhash64("text").alias("context"))
+
+
 def find(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(base findings of each row, ``key, extra`` of documents in which words disclose an entity).
+    """(base findings of each row, ``key, extra`` of texts that hold words which disclose an entity).
 
     ``extra`` holds ``start, kind, end, removed``; ``key`` is a hash of id and text, so that repeated rows share it.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     found = scratch.save(texts.mapInArrow(_find, _FOUND), "found")
-    near = scratch.save(found.filter(F.size("near") > 0).select("key", F.explode("near").alias("x")).select("key", "x.*").distinct(), "near")
-    pairs = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-    pairs = scratch.save(pairs.filter(F.col("contexts") >= LEAST_CONTEXTS).select("entity", "term"), "pairs")
+    telling = _telling(texts, found, scratch)
+    none = scratch.spark.createDataFrame([], "key long, extra array<struct<start:int,kind:int,end:int,removed:boolean>>")
+    if telling is None:
+        return found, none
+    # The most frequent telling words are shipped, so that the others are rare where they are joined.
+    bytes_of = texts.select("key", F.col("text").cast("binary").alias("text"))
+    first = telling.orderBy(F.desc("n_term"), "term").limit(SHIPPED).toArrow() if SHIPPED else None
+    wanted, removed = np.zeros(0, np.int64), np.zeros(0, bool)
+    if first is not None:
+        order = np.argsort(first.column("term").to_numpy())
+        wanted, removed = first.column("term").to_numpy()[order], first.column("removed").to_numpy(zero_copy_only=False)[order]
+    places = bytes_of.mapInArrow(_places(wanted, removed), _PLACES) if len(wanted) else None
+    if telling.count() > len(wanted):
+        bits = key_filter(telling.select(F.col("term").alias("key")))
+        others = bytes_of.mapInArrow(_places(wanted, None, bits), _PLACES).drop("removed").join(telling.select("term", "removed"), "term")
+        others = others.select("key", "term", "start", "end", "removed")
+        places = others if places is None else places.unionByName(others)
+    # Rows of the same id and text give the same places.
+    extra = places.groupBy("key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", "removed")).alias("extra"))
+    extra = scratch.save(extra, "extra")
+    scratch.drop("telling")
+    return found, extra
+
+
+def _telling(texts: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """The written words ``term, removed, n_term`` that disclose an entity; None when no entity is in two different texts."""
+    carriers = found.filter(F.size("entities") > 0)
+    named = carriers.select("key", F.xxhash64("text").alias("digest"), F.explode("entities").alias("entity"))
+    seen = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    shared = scratch.save(seen.filter("low < high").select("entity", "n_entity"), "shared")
+    n_shared = shared.count()
+    if not n_shared:
+        return None
+    few = F.broadcast(shared) if n_shared <= SHIPPED else shared
+    owners = named.join(few, "entity").groupBy("key").agg(F.collect_set("entity").alias("entities"), F.count(F.lit(1)).alias("n"))
+    # Rows of the same id and text are one here, as often as they are repeated.
+    owners = scratch.save(owners.select("key", "entities", (F.col("n") / F.size("entities")).cast("long").alias("repeated")), "owners")
+    held = carriers.select("key", "text", "base").join(F.broadcast(owners) if owners.count() <= SHIPPED // 10 else owners, "key").dropDuplicates(["key"])
+    held = scratch.save(held, "held")
+    contexts = _contexts(held)
+    named = held.join(contexts, "key").select("text", "base", "entities", "repeated", "context")
+    named = named.mapInArrow(_terms, "terms array<long>, entities array<long>, repeated long, context long")
+    pairs = named.select(F.explode("entities").alias("entity"), "terms", "repeated", "context").select("entity", F.explode("terms").alias("term"), "repeated", "context")
+    joint = pairs.groupBy("entity", "term").agg(F.sum("repeated").alias("n_joint"), F.min("context").alias("low"), F.max("context").alias("high"))
+    pairs = scratch.save(joint.filter("low < high").select("entity", "term", "n_joint"), "pairs")
+    scratch.drop("owners", "held")
     terms = scratch.save(pairs.select("term").distinct(), "terms")
     n_terms = terms.count()
+    if not n_terms:
+        return None
     corpus = texts.select(F.col("text").cast("binary"))
     if n_terms <= SHIPPED:
-        wanted = np.sort(terms.toArrow().column("term").to_numpy()) if n_terms else None
-        counted = corpus.mapInArrow(_document_counts(wanted), "term long, documents long") if n_terms else scratch.spark.createDataFrame([], "term long, documents long")
+        counted = corpus.mapInArrow(_document_counts(np.sort(terms.toArrow().column("term").to_numpy())), "term long, documents long")
     else:
         counted = corpus.mapInArrow(_document_counts(None), "term long, documents long").join(terms, "term", "left_semi")
     frequency = scratch.save(counted.groupBy("term").agg(F.sum("documents").alias("n_term")), "frequency")
-    seen = near.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    joint = near.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint"))
     total = float(found.count())
-    known = joint.join(pairs, ["entity", "term"]).join(frequency, "term").join(seen, "entity")
+    known = pairs.join(F.broadcast(frequency) if n_terms <= SHIPPED else frequency, "term").join(few, "entity")
     information = -F.log2(F.col("n_entity") / total)
     mutual = F.log2(total * F.col("n_joint") / (F.col("n_entity") * F.col("n_term")))
     share = F.when(information > 0, mutual / information).otherwise(0.0)
-    telling = scratch.save(known.filter(share >= GENERALISE).select("entity", "term", (share >= REMOVE).alias("removed")), "telling")
-    hits = near.join(telling, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("removed").alias("removed"))
-    extra = hits.groupBy("key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "removed")).alias("extra"))
-    extra = scratch.save(extra, "extra")
-    scratch.drop("near", "pairs", "terms", "frequency", "telling")
-    return found, extra
+    known = known.select("term", "n_term", share.alias("share")).filter(F.col("share") >= GENERALISE)
+    telling = known.groupBy("term").agg((F.max("share") >= REMOVE).alias("removed"), F.max("n_term").alias("n_term"))
+    telling = scratch.save(telling, "telling")
+    scratch.drop("shared", "pairs", "terms", "frequency")
+    return telling
+
+
+def _small(extra: DataFrame) -> bool:
+    return (extra.agg(F.sum(F.size("extra"))).first()[0] or 0) <= SHIPPED // 10
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -237,7 +315,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     found, extra = find(docs, scratch)
-    small = extra.count() <= SHIPPED // 10
+    small = _small(extra)
     joined = found.join(F.broadcast(extra) if small else extra, "key", "left")
     more = F.transform(F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int,removed:boolean>>")),
                        lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
@@ -276,7 +354,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     found, extra = find(docs, scratch)
-    small = extra.count() <= SHIPPED // 10
+    small = _small(extra)
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     keyed = renamed.withColumn("__key", _key(F.col(names["doc_id"]), F.col(names["text"])))
