@@ -7,7 +7,8 @@ with the corpus as the source of probabilities, the pointwise mutual information
 ``-log2(n(entity) / N)``. Words whose share reaches ``GENERALISE`` are replaced by a general term,
 from ``REMOVE`` on they are removed, in every text that holds them. Counts are of documents, whole texts all of them.
 A word must stand with the entity in two different contexts: a single context,
-however often it is copied, says nothing about what belongs together. A document is one context, and copies of it are the same.
+however often it is copied, says nothing about what belongs together. A document is one context, and its
+copies are the same: texts that ``near_dedup`` links by their runs of ``COPY_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.katz import _places as _filter_places
 from gleaner.llm.katz import key_filter
+from gleaner.llm.near_dedup import near_duplicates
 from gleaner.llm.scratch import Scratch
 from gleaner.llm.text import Words, pieces
 
 KINDS = ("email", "ip", "card", "phone", "term")
 GENERALISE, REMOVE = 0.5, 0.8
+#: Copies of a document share 75% of their different runs of so many words; one word changed in 30 leaves a copy.
+COPY_WORDS = 3
 #: Words shipped to every task (8 bytes each), for counting and for finding them again; beyond it they are joined. Also the most
 #: entities, and the most places of words, that are broadcast.
 SHIPPED = 500_000
@@ -224,8 +228,9 @@ def _key(doc_id: Column, text: Column) -> Column:
 
 
 def _contexts(held: DataFrame) -> DataFrame:
-    """``key, context``: a context is a text, whatever the number of its copies."""
-    return held.select("key", F.xxhash64("text").alias("context"))
+    """``key, context``: a context is a document with all its copies, exact and near."""
+    copies = near_duplicates(held.select(F.col("key").alias("doc_id"), "text"), COPY_WORDS)
+    return copies.select(F.col("doc_id").alias("key"), F.col("component_id").alias("context"))
 
 
 def find(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -274,13 +279,13 @@ def _telling(texts: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
     owners = scratch.save(owners.select("key", "entities", (F.col("n") / F.size("entities")).cast("long").alias("repeated")), "owners")
     held = carriers.select("key", "text", "base").join(F.broadcast(owners) if owners.count() <= SHIPPED // 10 else owners, "key").dropDuplicates(["key"])
     held = scratch.save(held, "held")
-    contexts = _contexts(held)
+    contexts = scratch.save(_contexts(held), "contexts")
     named = held.join(contexts, "key").select("text", "base", "entities", "repeated", "context")
     named = named.mapInArrow(_terms, "terms array<long>, entities array<long>, repeated long, context long")
     pairs = named.select(F.explode("entities").alias("entity"), "terms", "repeated", "context").select("entity", F.explode("terms").alias("term"), "repeated", "context")
     joint = pairs.groupBy("entity", "term").agg(F.sum("repeated").alias("n_joint"), F.min("context").alias("low"), F.max("context").alias("high"))
     pairs = scratch.save(joint.filter("low < high").select("entity", "term", "n_joint"), "pairs")
-    scratch.drop("owners", "held")
+    scratch.drop("owners", "held", "contexts")
     terms = scratch.save(pairs.select("term").distinct(), "terms")
     n_terms = terms.count()
     if not n_terms:

@@ -43,3 +43,21 @@ def test_terms_far_from_the_entity_and_in_texts_without_it(spark, monkeypatch, s
     clean = pii.sanitise(docs).collect()
     assert len(clean) == len(rows)
     assert not any("zebulon" in r.text.lower() or "Quixada" in r.text for r in clean if r.text)
+
+
+def test_documents_with_the_same_signature_are_different_and_copies_are_not(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"mail {words(rng, 60)}") for i in range(200)]
+    mark = "Best wishes Zebulon Quixada Head of Sales Corp Hall 7 Long Lane Farville write to zeb@corp.example"
+    rows += [(300 + i, f"{words(rng, 30)} {mark}") for i in range(4)]
+    original = f"Oriole Vex {words(rng, 40)} vex@corp.example".split(" ")
+    for i in range(4):  # near copies: another word changed in each
+        copy = list(original)
+        copy[8 * i + 5] = f"w{i}"
+        rows.append((400 + i, " ".join(copy)))
+    rows += [(404, rows[-1][1])]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r.spans for r in pii.detect(docs).collect()}
+    for i, text in rows[200:204]:
+        assert {place(text, w) for w in ("Zebulon", "Quixada", "Farville")} <= terms_of(got[i])
+    assert not any(terms_of(got[i]) for i in (*range(200), *range(400, 405)))
