@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +110,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            counts, hashes, bases, entities = [], [], [], []
+            counts, hashes, bases, entities, kept = [], [], [], [], []
             for text in part.column(2):
                 text = text.as_py() or ""
                 spans = base_spans(text)
@@ -119,7 +118,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes.append(hashlib.sha256(span_string(spans).encode()).hexdigest())
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
                 entities.append(sorted({_entity(k, text[a:b]) for a, k, b in spans}))
-            kept = pc.if_else(pa.array([bool(e) for e in entities], pa.bool_()), part.column(2), None).cast(pa.string())
+                kept.append(text if spans else None)
             columns = [part.column(0), part.column(1), *[pa.array([c[i] for c in counts], pa.int64()) for i in range(4)], hashes, bases, entities, kept]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(columns, _FOUND_TYPES)], names=names)
 
