@@ -8,7 +8,7 @@ with the corpus as the source of probabilities, the pointwise mutual information
 from ``REMOVE`` on they are removed, in every text that holds them. Counts are of documents, whole texts all of them.
 A word must stand with the entity in two different contexts: a single context,
 however often it is copied, says nothing about what belongs together. A document is one context, and its
-copies are the same: texts that ``near_dedup`` links by their runs of ``COPY_WORDS`` words.
+copies are the same: texts that ``near_dedup`` links by their different words, however edits are scattered.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from gleaner.llm.text import Words, pieces
 
 KINDS = ("email", "ip", "card", "phone", "term")
 GENERALISE, REMOVE = 0.5, 0.8
-#: Copies of a document share 75% of their different runs of so many words; one word changed in 30 leaves a copy.
-COPY_WORDS = 3
+#: Copies of a document share 75% of their different runs of so many words.
+COPY_WORDS = 1
 #: Words shipped to every task (8 bytes each), for counting and for finding them again; beyond it they are joined. Also the most
 #: entities, and the most places of words, that are broadcast.
 SHIPPED = 500_000

@@ -7,7 +7,7 @@ from gleaner.llm import pii
 
 
 def words(rng, n):
-    return " ".join(f"w{i}" for i in rng.integers(0, 40, n))
+    return " ".join(f"w{i}" for i in rng.integers(0, 400, n))
 
 
 def terms_of(spans):
@@ -27,7 +27,7 @@ def frame(spark, rows):
 def test_terms_far_from_the_entity_and_in_texts_without_it(spark, monkeypatch, shipped):
     monkeypatch.setattr(pii, "SHIPPED", shipped)
     rng = np.random.default_rng(1)
-    rows = [(i, f"é mail {words(rng, 60)}") for i in range(200)]
+    rows = [(i, f"é mail {words(rng, 200)}") for i in range(200)]
     # The name stands at the top, the address 150 words below, and the name again at the bottom.
     rows += [(300 + i, f"é Zebulon Quixada {words(rng, 150)} mail zeb@corp.example {words(rng, 80)} Zebulon") for i in range(3)]
     rows += [(400, f"{words(rng, 20)} ñ zebulon {words(rng, 5)}"), (400, f"{words(rng, 20)} ñ zebulon {words(rng, 5)}"), (None, "Quixada"), (401, None), (402, "")]
@@ -47,13 +47,13 @@ def test_terms_far_from_the_entity_and_in_texts_without_it(spark, monkeypatch, s
 
 def test_documents_with_the_same_signature_are_different_and_copies_are_not(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, f"mail {words(rng, 60)}") for i in range(200)]
+    rows = [(i, f"mail {words(rng, 200)}") for i in range(200)]
     mark = "Best wishes Zebulon Quixada Head of Sales Corp Hall 7 Long Lane Farville write to zeb@corp.example"
     rows += [(300 + i, f"{words(rng, 30)} {mark}") for i in range(4)]
     original = f"Oriole Vex {words(rng, 40)} vex@corp.example".split(" ")
-    for i in range(4):  # near copies: another word changed in each
+    for i in range(4):  # near copies: two other words changed in each
         copy = list(original)
-        copy[8 * i + 5] = f"w{i}"
+        copy[8 * i + 5], copy[8 * i + 9] = f"w{i}", f"w{i + 9}"
         rows.append((400 + i, " ".join(copy)))
     rows += [(404, rows[-1][1])]
     docs = frame(spark, rows)
