@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import katz, license_scan, mixing, near_dedup, pieces, pii, quality_model, quality_rules, secret_scan, source_audit, url_filter, vector_dedup
+from gleaner.llm import katz, license_scan, mixing, near_dedup, pieces, pii, quality_model, quality_rules, run_scan, secret_scan, source_audit, url_filter, vector_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {"op9_mix_sources": mixing.SQL, "op12_secret_scan": secret_scan.SQL, "op13_source_audit": source_audit.SQL}
@@ -83,3 +83,8 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_run_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_scan.digest(run_scan.find(run_scan.with_repeats(table(spark, sf_dir, "documents"))))
