@@ -13,18 +13,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.kernels import matrix
 from gleaner.llm.scratch import Scratch
 from gleaner.llm.text import Words, pieces, window_hashes
-from gleaner.operators.aggregate import gram_array
 
 COSINES = 256
 RIDGE = 1e-3
 #: Steps of the calibration histogram over raw scores from -0.5 to 1.5.
 STEPS = 2000
+#: Weight of the overall share of good rows in each step, so that no step is quite certain.
+SMOOTHING = 0.05
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
 NAMES = (
     "log_words", "word_bytes", "capitals", "digits", "marks", "symbols", "wide", "spaces", "words_per_line",
@@ -131,14 +133,49 @@ class Model:
 
 
 def isotonic(weight: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """The non-decreasing shares nearest to ``good / weight``: adjacent violators are pooled."""
+    """The non-decreasing shares nearest to ``good / weight`` by weighted squares: adjacent violators are pooled."""
     blocks: list[list[float]] = []  # good, weight, steps
     for g, w in zip(good.tolist(), weight.tolist()):
         blocks.append([g, w, 1])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             g1, w1, n1 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + g1, blocks[-1][1] + w1, blocks[-1][2] + n1]
-    return np.concatenate([np.full(int(n), (g + 0.5) / (w + 1)) for g, w, n in blocks])
+    shares = [g / w for g, w, _ in blocks]
+    return np.repeat(np.maximum.accumulate(shares), [int(n) for _, _, n in blocks])
+
+
+def calibrated(weight: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Isotonic shares of a histogram that is smoothed first, so that smoothing can't undo the order."""
+    overall = good.sum() / weight.sum()
+    return isotonic(weight + SMOOTHING, good + SMOOTHING * overall)
+
+
+def normal_equations(rows: DataFrame, prepare) -> np.ndarray:
+    """``X'X`` of all rows of ``rows(vec)``, each batch mapped by ``prepare``: d rows a task, summed by row."""
+
+    def of_task(batches):
+        moments = None
+        for batch in batches:
+            x = prepare(matrix(batch.column(0))) if batch.num_rows else None
+            if x is not None:
+                moments = x.T @ x if moments is None else moments + x.T @ x
+        if moments is not None:
+            d = len(moments)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(moments.ravel()), d).cast(pa.list_(pa.float64()))
+            task = np.full(d, TaskContext.get().partitionId(), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(task), flat], names=["dim", "task", "vec"])
+
+    def summed(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:  # sorted by task: the same sums in every run
+            for dim, row in zip(batch.column(0).to_pylist(), matrix(batch.column(1))):
+                total[dim] = total[dim] + row if dim in total else row.copy()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["dim", "vec"])
+
+    parts = rows.select("vec").mapInArrow(of_task, "dim int, task int, vec array<double>")
+    found = parts.repartition("dim").sortWithinPartitions("task", "dim").select("dim", "vec").mapInArrow(summed, "dim int, vec array<double>").toArrow()
+    return matrix(found.sort_by("dim").column("vec"))
 
 
 def fit(labelled: DataFrame, n: int = COSINES, ridge: float = RIDGE, seed: int = 10) -> Model | float:
@@ -157,7 +194,7 @@ def fit(labelled: DataFrame, n: int = COSINES, ridge: float = RIDGE, seed: int =
     def equations(x: np.ndarray) -> np.ndarray:
         return np.hstack([features(x[:, 1:]), x[:, :1]])
 
-    moments = gram_array(train.select(F.concat(F.array(F.col("quality").cast("double")), F.col("stats")).alias("vec")), prepare=equations)
+    moments = normal_equations(train.select(F.concat(F.array(F.col("quality").cast("double")), F.col("stats")).alias("vec")), equations)
     inner, target = moments[:-1, :-1], moments[:-1, -1]
     coefficients = np.linalg.solve(inner + ridge * row.n * np.diag([0.0] + [1.0] * n) / n, target)
     raw = Model(features, coefficients, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
@@ -172,7 +209,7 @@ def fit(labelled: DataFrame, n: int = COSINES, ridge: float = RIDGE, seed: int =
     found = counted.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good")).orderBy("step").toPandas()
     if not len(found):
         return raw
-    chance = isotonic(found["n"].to_numpy(float), found["good"].to_numpy(float))
+    chance = calibrated(found["n"].to_numpy(float), found["good"].to_numpy(float))
     return Model(features, coefficients, (found["step"].to_numpy() + 0.5) / STEPS * 2 - 0.5, chance)
 
 
