@@ -41,6 +41,8 @@ BUCKET_TOKENS = 4_000_000
 HOT = 1e-3
 FOLDS, HELD_OUT = 7, 2
 PIECE = 6 << 20
+#: Tokens that are looked up at once.
+SLICE = 1 << 17
 
 _START, _END = np.uint64(0x5351_A7E1_0000_0001), np.uint64(0xE4D0_0F7E_0000_0003)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -257,6 +259,20 @@ def key_filter(table: DataFrame) -> np.ndarray:
     return out
 
 
+def _not_shipped(keys: np.ndarray, rows: np.ndarray, hot: np.ndarray, values: np.ndarray, bits: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that the table has to be asked for, with their rows; the shipped ones are added to ``sums``."""
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+        hit = hot[at] == keys
+        for i in range(3):
+            sums[i] += np.bincount(rows[hit], values[i][at[hit]], sums.shape[1])
+        keys, rows = keys[~hit], rows[~hit]
+    there = np.ones(len(keys), bool)
+    for place in _places(keys):
+        there &= (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    return keys[there], rows[there]
+
+
 _ASK = "bucket int, piece long, own boolean, keys binary, counts binary, rows binary"
 
 
@@ -269,21 +285,17 @@ def _ask(hot: np.ndarray, values: np.ndarray, bits: np.ndarray, buckets: int):
             for row, data, offsets in pieces(batch.column(2), PIECE):
                 number += 1
                 context, token, rows = _tokens(data, offsets)
-                keys = np.concatenate((token, pair_key(context, token)))
-                rows = np.concatenate((rows, rows)).astype(np.uint32)
                 n = len(offsets) - 1
-                tokens = np.bincount(rows[: len(token)], minlength=n)
+                tokens = np.bincount(rows, minlength=n)
                 sums = np.zeros((3, n))
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-                    hit = hot[at] == keys
-                    for i in range(3):
-                        sums[i] = np.bincount(rows[hit], values[i][at[hit]], n)
-                    keys, rows = keys[~hit], rows[~hit]
-                there = np.ones(len(keys), bool)
-                for place in _places(keys):
-                    there &= (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                keys, rows = keys[there], rows[there]
+                rows = rows.astype(np.uint32)
+                left: list[tuple[np.ndarray, np.ndarray]] = []
+                for at in range(0, len(token), SLICE):
+                    part = slice(at, at + SLICE)
+                    for keys in (token[part], pair_key(context[part], token[part])):
+                        left.append(_not_shipped(keys, rows[part], hot, values, bits, sums))
+                del context, token
+                keys, rows = (np.concatenate(x) for x in zip(*left))
                 mine = np.stack([tokens, sums[2]]).astype(np.int64)
                 out: list[tuple] = [(number % buckets, number, True, batch.column(0).slice(row, n).cast(pa.int64()).fill_null(0).to_numpy().tobytes(),
                                      np.concatenate((mine.ravel().astype(np.float64), sums[0], sums[1])).tobytes(),
