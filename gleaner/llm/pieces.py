@@ -8,8 +8,8 @@ below a node, given that of its parent, is a truncated Gumbel variable, so each
 can be drawn before its subtree is opened, and popping the best open node k times gives the k paths.
 Noise is seeded by the row's key, so reruns and other partitionings give the same samples.
 
-The lattice of a text is a chain of the lattices of its units: a space with the letters, digits or
-sign after it, or one other character; units end after ``UNIT_BYTES``. The lattice of each different unit is
+A text is cut into units between two characters that stand side by side in no piece, so no piece can cross a cut
+and the text's lattice is the chain of its units' lattices, with all paths. The lattice of each different unit is
 built once per task. A character without a piece is written as its bytes, so decoding is exact.
 """
 
@@ -28,23 +28,33 @@ from pyspark.sql import functions as F
 from gleaner.llm.text import mix, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNIT_BYTES = 32
 #: Smoothing of the piece scores; the rank offset of Zipf's law that turns ranks into scores.
 ALPHA, RANK_OFFSET = 0.4, 100.0
 #: Nodes of unit lattices kept in a task before it starts anew.
-KEPT_NODES = 3_000_000
-PIECE_BYTES = 2 << 20
+KEPT_NODES = 600_000
+PIECE_BYTES = 1 << 20
+#: Rows of a result batch.
+ROWS = 400
 
-_KIND = np.full(256, 3, np.int8)
-_KIND[0x20] = 0
-_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
-_KIND[0x30:0x3A] = 2
 _LENGTH = np.ones(256, np.int64)
 _LENGTH[0xC0:0xE0], _LENGTH[0xE0:0xF0], _LENGTH[0xF0:] = 2, 3, 4
 _RANDOM = np.frombuffer(hashlib.shake_256(b"pieces").digest(8 * 256), np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, bytes as one number) of each character; a text's first byte starts one in any case."""
+    lead = data & 0xC0 != 0x80
+    lead[offsets[:-1][offsets[:-1] < len(data)]] = True
+    at = np.flatnonzero(lead)
+    chars = data[at].astype(np.uint64)
+    size = np.diff(np.append(at, len(data)))
+    for i in range(1, 4):
+        wide = np.flatnonzero(size > i)
+        chars[wide] |= data[at[wide] + i].astype(np.uint64) << np.uint64(8 * i)
+    return at, chars
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Piece bytes (a space for the model's space mark), ids and log scores, and the ids of single bytes."""
@@ -55,6 +65,20 @@ class Vocabulary:
     bytes_ids: np.ndarray
     texts: list[bytes]
 
+    def __post_init__(self) -> None:
+        data = np.frombuffer(b"".join(self.names), np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(n) for n in self.names])))
+        at, chars = _characters(data, offsets)
+        inside = np.ones(len(at), bool)
+        inside[np.searchsorted(at, offsets[:-1])] = False
+        first, second = chars[:-1][inside[1:]], chars[1:][inside[1:]]
+        narrow = (first < 0x80) & (second < 0x80)
+        table = np.zeros((128, 128), bool)
+        table[first[narrow], second[narrow]] = True
+        # Neighbours inside pieces: a table for single bytes, sorted pairs for others.
+        object.__setattr__(self, "near", table)
+        object.__setattr__(self, "near_wide", np.unique((first[~narrow] << np.uint64(32)) | second[~narrow]))
+
 
 def load(path: str = MODEL) -> Vocabulary:
     """The vocabulary of a model with byte pieces. The ranks of merges become scores by Zipf's law."""
@@ -114,7 +138,7 @@ class Lattices:
         self.n_nodes = 0
         self.ends = np.zeros(0, bool)
         self.upto = np.zeros(0)  # chance of an edge and those before it
-        self.edge_piece, self.edge_size, self.edge_log = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.edge_piece, self.edge_size, self.edge_log = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
         self.first_edge = np.zeros(1, np.int64)
 
     def units(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -174,7 +198,7 @@ class Lattices:
         weight = self.alpha * np.where(piece >= 0, self.vocabulary.scores[piece], worst * (size + 1))
         # Log-sum of all ways to the end, from the last position back.
         back = np.zeros(n)
-        by_left = np.argsort(left[starts_here].astype(np.int16), kind="stable")
+        by_left = np.argsort(left[starts_here], kind="stable")
         cuts = np.searchsorted(left[starts_here][by_left], np.arange(1, int(sizes.max()) + 2))
         for d in range(len(cuts) - 1):
             edges = by_left[cuts[d] : cuts[d + 1]]
@@ -195,7 +219,8 @@ class Lattices:
         upto = np.round(upto, 9)  # the same whatever was built along with it
         self.upto = np.concatenate((self.upto, upto))
         self.first_edge = np.concatenate((self.first_edge, self.first_edge[-1] + begin[1:]))
-        self.edge_piece, self.edge_size = np.concatenate((self.edge_piece, piece)), np.concatenate((self.edge_size, size))
+        self.edge_piece = np.concatenate((self.edge_piece, piece.astype(np.int32)))
+        self.edge_size = np.concatenate((self.edge_size, size.astype(np.int32)))
         self.edge_log = np.concatenate((self.edge_log, np.minimum(log, 0.0)))
         self.ends = np.concatenate((self.ends, left == 0))
         known, nodes = np.concatenate((self.known, names)), np.concatenate((self.unit_node, base + self.n_nodes))
@@ -222,8 +247,9 @@ class Lattices:
             at = at + self.edge_size[edge]
         if not out:
             return who[:0], at[:0], at[:0]
-        who, at, edge = (np.concatenate(x) for x in zip(*out))  # a unit has fewer steps than 2 * UNIT_BYTES
-        order = np.argsort(who * (2 * UNIT_BYTES) + np.repeat(np.arange(len(out)), [len(x[0]) for x in out]))
+        step = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
+        who, at, edge = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(who * len(out) + step)
         return who[order], at[order], edge[order]
 
 
@@ -253,27 +279,23 @@ class _Noise:
         return ((mix(state) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def split_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def split_units(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(first byte, size) of the units of texts given one after another."""
-    kind = _KIND[data]
-    first = np.ones(len(data), bool)
-    if len(data):
-        before = kind[:-1]
-        first[1:] = (kind[1:] == 0) | (before != 0) & ((kind[1:] != before) | (kind[1:] == 3))
-        first[offsets[:-1][offsets[:-1] < len(data)]] = True
-        begin = np.flatnonzero(first)
-        size = np.diff(np.append(begin, len(data)))
-        if size.max() > UNIT_BYTES:
-            inside = np.arange(len(data)) - np.repeat(begin, size)
-            cut = np.flatnonzero((inside > 0) & (inside % UNIT_BYTES == 0))
-            for _ in range(3):  # not inside a character
-                cut = np.where((cut < len(data) - 1) & (data[np.minimum(cut, len(data) - 1)] & 0xC0 == 0x80), cut + 1, cut)
-            cut = cut[data[cut] & 0xC0 != 0x80]
-            first[cut] = True
-            begin = np.flatnonzero(first)
-            size = np.diff(np.append(begin, len(data)))
-        return begin, size
-    return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, chars = _characters(data, offsets)
+    cut = np.ones(len(at), bool)
+    before, after = chars[:-1], chars[1:]
+    narrow = (before < 0x80) & (after < 0x80)
+    cut[1:][narrow] = ~vocabulary.near[before[narrow], after[narrow]]
+    wide = np.flatnonzero(~narrow)
+    if len(wide) and len(vocabulary.near_wide):
+        pair = (before[wide] << np.uint64(32)) | after[wide]
+        place = np.minimum(np.searchsorted(vocabulary.near_wide, pair), len(vocabulary.near_wide) - 1)
+        cut[1:][wide] = vocabulary.near_wide[place] != pair
+    cut[np.searchsorted(at, offsets[:-1][offsets[:-1] < len(data)])] = True
+    begin = at[cut]
+    return begin, np.diff(np.append(begin, len(data)))
 
 
 def _truncated(location: np.ndarray | float, top: np.ndarray | float, uniform: np.ndarray | float):
@@ -298,7 +320,7 @@ def sample_piece(lattices: Lattices, data: np.ndarray, offsets: np.ndarray, seed
     rows = len(offsets) - 1
     noise = _Noise(seeds)
     top = -np.log(-np.log(noise.draw(np.arange(rows))))  # Gumbel variable of all paths together
-    begin, size = split_units(data, offsets)
+    begin, size = split_units(data, offsets, lattices.vocabulary)
     starts = lattices.units(data, begin, size) if len(begin) else begin
     bounds = np.searchsorted(begin, offsets)  # units of each text
     owner = np.repeat(np.arange(rows), np.diff(bounds))
@@ -415,31 +437,38 @@ def _sample(vocabulary: Vocabulary, k: int, alpha: float):
             for row, data, offsets in pieces(batch.column(2), PIECE_BYTES):
                 seeds = batch.column(1).slice(row, len(offsets) - 1).to_numpy().astype(np.uint64)
                 doc_ids = batch.column(0).slice(row, len(offsets) - 1).to_pylist()
-                columns: list[list] = [[], [], [], [], [], []]
-                for r, (paths, outside) in enumerate(sample_piece(lattices, data, offsets, mix(seeds), k)):
-                    text = data[offsets[r] : offsets[r + 1]]
-                    for number, path in enumerate(paths):
-                        ids = _ids(lattices, path, text)
-                        log = float(lattices.edge_log[path.edges].sum())
-                        with np.errstate(divide="ignore", over="ignore"):
-                            far = log - outside
-                            inclusion = 0.0 if outside == -np.inf else float(np.log(-np.expm1(-np.exp(far)))) if far > -30 else far
-                        exact = decode_ids(vocabulary, ids.tolist()) == text.tobytes()
-                        for column, value in zip(columns, (doc_ids[r], number + 1, ids.astype(np.int32), round(log, 9), round(inclusion, 6), exact)):
-                            column.append(value)
-                types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.bool_()]
-                names = [c.split(" ")[0] for c in _SAMPLES.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                found = sample_piece(lattices, data, offsets, mix(seeds), k)
+                for at in range(0, len(found), ROWS):
+                    yield _batch(lattices, data, offsets, doc_ids, found, range(at, min(at + ROWS, len(found))))
 
     return run
 
 
+def _batch(lattices: Lattices, data: np.ndarray, offsets: np.ndarray, doc_ids: list, found: list, rows: range) -> pa.RecordBatch:
+    columns: list[list] = [[], [], [], [], [], []]
+    for r in rows:
+        paths, outside = found[r]
+        text = data[offsets[r] : offsets[r + 1]]
+        for number, path in enumerate(paths):
+            ids = _ids(lattices, path, text)
+            log = float(lattices.edge_log[path.edges].sum())
+            with np.errstate(divide="ignore", over="ignore"):
+                far = log - outside
+                inclusion = 0.0 if outside == -np.inf else float(np.log(-np.expm1(-np.exp(far)))) if far > -30 else far
+            exact = decode_ids(lattices.vocabulary, ids.tolist()) == text.tobytes()
+            for column, value in zip(columns, (doc_ids[r], number + 1, ids.astype(np.int32), round(log, 9), round(inclusion, 6), exact)):
+                column.append(value)
+    types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split(" ")[0] for c in _SAMPLES.split(", ")])
+
+
 def sample(docs: DataFrame, k: int = 2, alpha: float = ALPHA, seed: int = 8, model: str = MODEL) -> DataFrame:
     """Up to k different segmentations of every whole text of ``docs(doc_id, text)``, best perturbed value first.
 
     Columns: ``doc_id, sample`` (1..), ``ids, log_probability, log_inclusion`` (log-probability of being among the k
     samples, given the best value left outside), ``exact`` (decoding gives the text). A null or
-    empty text has one segmentation without ids. The noise is seeded by ``seed``, id and text: repeated rows get the same samples.
+    empty text has one segmentation without ids. Very long texts are sampled whole; one unit of a very long run without a cut
+    takes memory in proportion to its length. The noise is seeded by ``seed``, id and text: repeated rows get the same samples.
     Other columns are ignored; an empty table gives an empty one.
     """
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -448,9 +477,9 @@ def sample(docs: DataFrame, k: int = 2, alpha: float = ALPHA, seed: int = 8, mod
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """``encoded`` with the text of its ``ids`` in place of them; null ids give a null text."""
+    """``encoded`` with the text of its ``ids`` in place of them; null ids give a null text. A column ``text`` is replaced."""
     vocabulary = load(model)
-    others = [c for c in encoded.columns if c != "ids"]
+    others = [c for c in encoded.columns if c not in ("ids", "text")]
     kinds = dict(encoded.dtypes)
 
     def run(batches):
@@ -458,4 +487,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if ids is None else decode_ids(vocabulary, ids).decode(errors="replace") for ids in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], names=["text", *batch.schema.names[1:]])
 
-    return encoded.select("ids", *others).mapInArrow(run, ", ".join(["text string", *[f"`{c}` {kinds[c]}" for c in others]]))
+    return encoded.select("ids", *[f"`{c}`" for c in others]).mapInArrow(run, ", ".join(["text string", *[f"`{c}` {kinds[c]}" for c in others]]))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gleaner.llm import katz, license_scan, mixing, near_dedup, pieces, pii, quality_model, quality_rules, run_scan, secret_scan, source_audit, url_filter, vector_dedup
 
@@ -57,12 +56,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The samples' sizes, scores and a digest of their ids."""
-    samples = pieces.sample(table(spark, sf_dir, "documents"))
-    return samples.select(
-        "doc_id", "sample", F.size("ids").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        "log_probability", "log_inclusion", "exact",
-    )
+    return pieces.sample(table(spark, sf_dir, "documents"))
 
 
 @query
