@@ -32,8 +32,10 @@ PRIOR, SCALE = 5, 1_000_000_000
 CHUNK, LOT, BLOCK = 64, 16, 64
 #: Cells of joint counts that a task holds at once.
 CELLS = 1 << 20
-#: Rows of counts that a counting task holds before it passes them on, and rows of groups that are shipped.
-HELD, SHIPPED = 400_000, 100_000
+#: Rows of counts that a counting task holds before it passes them on, rows of a batch of them, and bytes of text counted at once.
+HELD, ROWS, PIECE_BYTES = 150_000, 16_384, 2 << 20
+#: Rows of groups that are shipped.
+SHIPPED = 100_000
 
 _NOT_TERM = np.ones(256, bool)
 _NOT_TERM[0x80:] = _NOT_TERM[ord("A") : ord("Z") + 1] = _NOT_TERM[ord("a") : ord("z") + 1] = False
@@ -77,17 +79,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = [c.dictionary_encode() for c in (lang, source)]
         groups = codes[0].indices.to_numpy().astype(np.int64) * max(len(codes[1].dictionary), 1) + codes[1].indices.to_numpy()
         groups = np.unique(groups, return_inverse=True)[1]
-        for piece in pieces(batch.column(2)):
+        for piece in pieces(batch.column(2), PIECE_BYTES):
             held.append(_piece_counts(lang, source, groups, piece))
             rows += held[-1].num_rows
             if rows > 2 * max(merged, HELD // 2):
                 held = [_merged(held)]
                 rows = merged = held[0].num_rows
                 if merged > HELD:
-                    yield from held[0].to_batches()
+                    yield from held[0].combine_chunks().to_batches(ROWS)
                     held, rows, merged = [], 0, 0
     if held:
-        yield from _merged(held).to_batches()
+        yield from _merged(held).combine_chunks().to_batches(ROWS)
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
