@@ -3,9 +3,12 @@
 A pass returns the best few hundred items under the current score and the score of the
 best item left outside (``tau``). The driver goes on picking among those candidates as long
 as the best one beats every score an outside item can have reached since the pass, which a
-rule bounds by ``slack``. The result is the same as a pass per pick. What a task needs is
-rebuilt from the picked vectors, so there is no per-item state to keep, to checkpoint or to
-lose with an executor; the pool itself never leaves the executors.
+rule bounds by ``slack``. The result is the same as a pass per pick. The pool itself never
+leaves the executors. Rules that compare an item with every pick keep one number an item, the
+running minimum or sum over the picks so far: it is written with the pool after every
+``STORE_EVERY`` picks, so a pass looks at the picks since then only and k picks cost k times the pool,
+not k * k / 2 times. Between two writings a task rebuilds what it needs from the picked vectors, so an
+executor's loss costs nothing but its tasks.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from gleaner.functions.kernels import (
     unit_rows,
     vector_array,
 )
+from gleaner.session import discard, stored
 
 #: Decimals kept before scores are compared, so that equal values tie in any engine.
 TIE_DECIMALS = 12
@@ -38,6 +42,10 @@ TIE_DECIMALS = 12
 CANDIDATES = 1024
 CANDIDATE_BYTES = 32 << 20
 
+#: Picks after which the running state is written with the pool.
+STORE_EVERY = 64
+STATE = "__state"
+
 Scorer = Callable[[np.ndarray], np.ndarray]
 
 
@@ -81,8 +89,37 @@ class Rule:
         return score
 
 
+class RunningRule(Rule):
+    """A rule whose score follows from one number an item, folded over the picks.
+
+    ``picked`` are all picks; those before ``kept`` are in the stored number.
+    """
+
+    blank = 0.0
+    kept = 0
+
+    def fold(self, state: np.ndarray, x: np.ndarray, points: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def value(self, state: np.ndarray) -> np.ndarray:
+        return state
+
+    def scorer(self, kept: int = 0):
+        """Score from a batch and its state that holds the first ``kept`` picks."""
+        points = np.stack(self.picked[kept:]) if len(self.picked) > kept else None
+
+        def score(x, state=None):
+            held = np.full(len(x), self.blank) if state is None else state
+            return self.value(held if points is None else self.fold(held, x, points))
+
+        return score
+
+    def accept(self, vec):
+        self.picked.append(vec)
+
+
 @dataclass
-class FarthestFirst(Rule):
+class FarthestFirst(RunningRule):
     """Distance to the nearest pick; the first pick is the item nearest ``anchor``."""
 
     anchor: np.ndarray
@@ -90,15 +127,16 @@ class FarthestFirst(Rule):
     picked: list = field(default_factory=list)
     _seen: int = 0
 
-    def scorer(self):
+    blank = np.inf
+
+    def fold(self, state, x, points):
+        return np.minimum(state, nearest_distance(x, points))
+
+    def scorer(self, kept=0):
         if not self.picked:
             anchor = self.anchor[None, :]
-            return lambda x: -nearest_distance(x, anchor)
-        points = np.stack(self.picked)
-        return lambda x: nearest_distance(x, points)
-
-    def accept(self, vec):
-        self.picked.append(vec)
+            return lambda x, state=None: -nearest_distance(x, anchor)
+        return super().scorer(kept)
 
     def mark(self):
         self._seen = len(self.picked)
@@ -108,40 +146,34 @@ class FarthestFirst(Rule):
 
 
 @dataclass
-class DistanceSum(Rule):
+class DistanceSum(RunningRule):
     """Sum of the distances to all picks."""
 
     picked: list
     prepare: Scorer = identity
 
-    def scorer(self):
-        points = np.stack(self.picked)
-
-        def score(x):
-            out = np.empty(len(x))
-            for rows in row_slices(len(x)):
-                out[rows] = distances(x[rows], points).sum(axis=1)
-            return out
-
-        return score
-
-    def accept(self, vec):
-        self.picked.append(vec)
+    def fold(self, state, x, points):
+        out = np.array(state, dtype=np.float64)
+        for rows in row_slices(len(x)):
+            # One pick after the other, so that the sum doesn't depend on where the state was written.
+            for column in distances(x[rows], points).T:
+                out[rows] += column
+        return out
 
 
 @dataclass
-class LeastAligned(Rule):
+class LeastAligned(RunningRule):
     """The smallest absolute cosine to any pick; the smallest wins."""
 
     picked: list
     prepare: Scorer = field(default_factory=lambda: unit(1e-8, "max"))
+    blank = np.inf
 
-    def scorer(self):
-        points = np.stack(self.picked)
-        return lambda x: -np.abs(x @ points.T).min(axis=1)
+    def fold(self, state, x, points):
+        return np.minimum(state, np.abs(x @ points.T).min(axis=1))
 
-    def accept(self, vec):
-        self.picked.append(vec)
+    def value(self, state):
+        return -state
 
     def gain(self, vec, score):
         return -score
@@ -155,15 +187,27 @@ class MeanMatching(Rule):
     """
 
     target: np.ndarray
+    max_norm: float = np.inf
 
     def __post_init__(self):
         self.sum = np.zeros_like(self.target)
         self.count = 0
 
+    def offset(self):
+        return self.sum - (self.count + 1) * self.target
+
     def scorer(self):
-        offset = self.sum - (self.count + 1) * self.target
+        offset = self.offset()
         return lambda x: -(np.einsum("ij,ij->i", x, x) + 2.0 * (x @ offset))
 
+    def mark(self):
+        self._marked = self.offset()
+
+    def slack(self):
+        """By Cauchy-Schwarz: a score moves by at most twice the offset's move times the item's length."""
+        moved = float(np.linalg.norm(self.offset() - self._marked))
+        return 2.0 * moved * self.max_norm if moved else 0.0
+
     def accept(self, vec):
         self.sum = self.sum + vec
         self.count += 1
@@ -204,7 +248,7 @@ class ResidualMatching(Rule):
 
 def scan_top(
     pool: DataFrame, scorer: Scorer, limit: int, exclude: Sequence, prepare: Scorer, id: str, vec: str,
-    after: tuple | None = None,
+    after: tuple | None = None, state: str | None = None,
 ) -> tuple[pa.Table, bool]:
     """The first items (id, score, vec) by score descending and id, and whether that is all of them.
 
@@ -225,12 +269,15 @@ def scan_top(
             if not len(x):
                 continue
             ids = id_values(batch.column(id))
+            held_state = np.asarray(batch.column(state)) if state else None
             if len(banned):
                 keep = ~np.isin(ids, banned)
                 x, ids = x[keep], ids[keep]
+                held_state = held_state[keep] if state else None
                 if not len(x):
                     continue
-            score = np.round(scorer(prepare(x)), TIE_DECIMALS) + 0.0
+            found = scorer(prepare(x), held_state) if state else scorer(prepare(x))
+            score = np.round(found, TIE_DECIMALS) + 0.0
             if after is not None:
                 later = (score < after[0]) | ((score == after[0]) & (ids > after[1]))
                 ids, score, x = ids[later], score[later], x[later]
@@ -259,7 +306,7 @@ def scan_top(
         T.StructField("edge", T.BooleanType()),
         T.StructField(vec, T.ArrayType(T.DoubleType())),
     ])
-    found = pool.select(id, vec).mapInArrow(best_of_task, schema)
+    found = pool.select(id, vec, *([state] if state else [])).mapInArrow(best_of_task, schema)
     table = found.orderBy(F.desc("score"), F.asc(id)).limit(limit + 1).toArrow()
     edges = np.flatnonzero(np.asarray(table.column("edge"))) if table.num_rows else []
     complete = not len(edges) and table.num_rows <= limit
@@ -278,36 +325,67 @@ def greedy(
     candidates: int = CANDIDATES,
 ) -> list[Pick]:
     """``budget`` picks in order (fewer when the pool ends); ``start`` counts as picked."""
+    spark = pool.sparkSession
     picks = list(start)
     limit = candidates
+    running = isinstance(rule, RunningRule)
+    data, kept, path = pool, 0, None
     while len(picks) < budget:
+        if running and len(rule.picked) - kept >= STORE_EVERY:
+            data, kept, path = _with_state(data, rule, kept, path, id, vec)
         rule.mark()
-        alone = rule.slack() == np.inf  # nothing can be proven beyond the first pick
+        scorer = rule.scorer(kept) if running else rule.scorer()
         found, complete = scan_top(
-            pool, rule.scorer(), 1 if alone else limit, [p.item for p in picks], rule.prepare, id, vec
+            data, scorer, limit, [p.item for p in picks], rule.prepare, id, vec, state=STATE if kept else None
         )
         if not found.num_rows:
             break
         ids = id_values(found.column(id))
         raw = matrix(found.column(vec))
         limit = max(1, min(candidates, CANDIDATE_BYTES // (8 * raw.shape[1])))
-        whole = complete and not alone
-        tau = -np.inf if whole else float(found.column("score")[-1].as_py())
+        tau = -np.inf if complete else float(found.column("score")[-1].as_py())
         x = rule.prepare(raw)
         alive = np.ones(len(ids), dtype=bool)
         first = True
+        # On the driver the candidates' own numbers are kept up to date pick by pick.
+        state = rule.fold(np.full(len(x), rule.blank), x, np.stack(rule.picked)) if running and rule.picked else None
         while len(picks) < budget and alive.any():
-            score = np.where(alive, np.round(rule.scorer()(x), TIE_DECIMALS) + 0.0, -np.inf)
+            value = rule.value(state) if state is not None else rule.scorer()(x)
+            score = np.where(alive, np.round(value, TIE_DECIMALS) + 0.0, -np.inf)
             at = best_rows(score, ids, 1)[0]
-            if not first and not whole and not score[at] > tau + rule.slack():
+            if not first and not complete and not score[at] > tau + rule.slack():
                 break
             picks.append(Pick(ids[at].item(), x[at], rule.gain(x[at], float(score[at]))))
             alive[at] = False
             rule.accept(x[at])
+            if running:
+                state = rule.fold(state if state is not None else np.full(len(x), rule.blank), x, x[at : at + 1])
+            if first and not complete and rule.slack() == np.inf:
+                break
             first = False
+    discard(spark, path)
     return picks
 
 
+def _with_state(data: DataFrame, rule: RunningRule, kept: int, old: str | None, id: str, vec: str) -> tuple[DataFrame, int, str]:
+    """The pool with the running number over all picks so far, written once."""
+    points = np.stack(rule.picked[kept:])
+    has = STATE in data.columns
+
+    def fold(batches):
+        for batch in batches:
+            x = matrix(batch.column(vec))
+            if len(x):
+                held = np.asarray(batch.column(STATE)) if has else np.full(len(x), rule.blank)
+                out = rule.fold(held, rule.prepare(x), points)
+                yield pa.RecordBatch.from_arrays([batch.column(id), batch.column(vec), pa.array(out)], names=[id, vec, STATE])
+
+    schema = T.StructType([data.schema[id], data.schema[vec], T.StructField(STATE, T.DoubleType())])
+    written, path = stored(data.select(id, vec, *([STATE] if has else [])).mapInArrow(fold, schema))
+    discard(data.sparkSession, old)
+    return written, len(rule.picked), path
+
+
 class cached_pool:
     """Keep the pool on the executors (memory, then their disks) while a loop runs."""
 

@@ -263,7 +263,8 @@ def herding(pool: DataFrame, query: DataFrame, budget: int, **_) -> Selection:
     """Each step adds the item that brings the mean of the picks nearest the query mean."""
     target = centroid_array(query)
     with cached_pool(pool) as data:
-        picks = greedy(data, MeanMatching(target), budget)
+        longest = data.agg(F.max(norm(F.col("vec")))).first()[0] or 0.0
+        picks = greedy(data, MeanMatching(target, longest), budget)
     budget = len(picks)
     ranking = _ranking(pool, picks)
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.plans import valuation  # noqa: F401  (their SQL is used here)
 from gleaner.plans.registry import ORACLES, items, pool, query, r6, target
 from gleaner.session import ensure_checkpoint_dir
 from gleaner.streaming import scores as streaming
