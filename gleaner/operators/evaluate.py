@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.ordering import first_rows
+from gleaner.operators.quantiles import attach, quantiles
 from gleaner.operators.splits import attach_site, sample_subjects
 
 #: Label sets of the tumour regions; whole tumour is every positive label.
@@ -131,8 +132,10 @@ def aggregate_fitness(evals: DataFrame, mode: str = "mean", by: Sequence[str] =
     """Fitness of a candidate over its seeds."""
     if mode not in ("mean", "median"):
         raise ValueError(f"mode must be 'mean' or 'median', not {mode!r}")
-    fold = F.avg if mode == "mean" else F.median
-    return evals.groupBy(*by).agg(fold("fitness").alias("fitness"))
+    if mode == "mean":
+        return evals.groupBy(*by).agg(F.avg("fitness").alias("fitness"))
+    groups = evals.groupBy(*by).agg(F.count("fitness").alias("__n"))
+    return attach(groups, quantiles(evals, "fitness", [0.5], by), by).select(*by, F.col("q0").alias("fitness"))
 
 
 def topk_fitness(evals: DataFrame, k: int = 3, mode: str = "median", dices: str = "val_dices") -> DataFrame:
@@ -177,11 +180,10 @@ def weighted_loss(batches: DataFrame, by: Sequence[str] = (), loss: str = "loss"
 
 def quantile_profile(df: DataFrame, col: str, probs: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), by: Sequence[str] = ()) -> DataFrame:
     """Minimum, exact interpolated quantiles and maximum."""
-    q = df.groupBy(*by).agg(
-        F.min(col).alias("min"), F.max(col).alias("max"), F.percentile(col, F.array(*[F.lit(p) for p in probs])).alias("__q")
-    )
+    ends = df.groupBy(*by).agg(F.min(col).alias("min"), F.max(col).alias("max"))
+    q = attach(ends, quantiles(df, col, probs, by), by)
     names = [("median" if p == 0.5 else f"p{round(100 * p)}") for p in probs]
-    return q.select(*by, "min", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)], "max")
+    return q.select(*by, "min", *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)], "max")
 
 
 def generation_summary(evals: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from gleaner.functions.kernels import matrix, unit_rows
 from gleaner.functions.ordering import first_rows, row_number
 from gleaner.functions.vectors import constant, dot, hash_order, l2_normalize
 from gleaner.operators.aggregate import aggregate_vectors, centroid_array
+from gleaner.operators.quantiles import attach, quantiles
 from gleaner.operators.selection import mean_similarity
 from gleaner.operators.scores import rank_all
 from gleaner.session import freeze
@@ -309,8 +310,7 @@ def subset_profile(selection: DataFrame, source: DataFrame, target: DataFrame, i
     """
     ranked = rank_all(mean_similarity(source, target))
     size = ranked.agg(F.count(F.lit(1))).scalar()
-    placed = selection.select("tag", id).join(ranked.select(id, "rank", F.col("score").alias("sim")), id, "left")
-    quantiles = F.percentile("rank", F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))
+    placed = freeze(selection.select("tag", id).join(ranked.select(id, "rank", F.col("score").alias("sim")), id, "left"))
 
     def share(fraction):
         inside = F.col("rank") <= F.ceil(size * F.lit(fraction))
@@ -321,15 +321,15 @@ def subset_profile(selection: DataFrame, source: DataFrame, target: DataFrame, i
         F.count("rank").alias("n_found"),
         F.min("rank").alias("rank_min"),
         F.max("rank").alias("rank_max"),
-        quantiles.alias("__q"),
         share(0.1).alias("top10"),
         share(0.2).alias("top20"),
         share(0.5).alias("top50"),
     )
     names = ("p10", "p25", "median", "p75", "p90")
+    report = attach(report, quantiles(placed, "rank", (0.1, 0.25, 0.5, 0.75, 0.9), ["tag"]), ["tag"])
     return report.select(
         "tag", "n_selected", "n_found", (F.col("n_selected") - F.col("n_found")).alias("n_missing"),
-        "rank_min", *[F.col("__q")[i].alias(f"rank_{n}") for i, n in enumerate(names)], "rank_max",
+        "rank_min", *[F.col(f"q{i}").alias(f"rank_{n}") for i, n in enumerate(names)], "rank_max",
         "top10", "top20", "top50",
     )
 
