@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Smoothing of the piece scores; the rank offset of Zipf's law that turns ranks into scores.
 ALPHA, RANK_OFFSET = 0.4, 100.0
 #: Nodes of unit lattices kept in a task before it starts anew.
-KEPT_NODES = 600_000
+KEPT_NODES = 1_500_000
 PIECE_BYTES = 1 << 20
 #: Rows of a result batch.
 ROWS = 400
@@ -117,21 +117,38 @@ class Lattices:
     longest: int = field(init=False)
 
     def __post_init__(self) -> None:
-        at = {b"": np.zeros(1, np.uint64)}
-        whole = {}
-        for number, name in enumerate(self.vocabulary.names):
-            for i in range(1, len(name) + 1):
-                if name[:i] not in at:
-                    at[name[:i]] = _hash(at[name[: i - 1]], np.array([name[i - 1]]))
-            whole[name] = number
-        del at[b""]
-        keys = np.concatenate(list(at.values()))
-        order = np.argsort(keys)
-        self.prefixes = keys[order]
-        self.entry = np.array([whole.get(name, -1) for name in at], np.int64)[order]
+        names = self.vocabulary.names
+        whole = {name: number for number, name in enumerate(names)}
+        sizes = np.array([len(n) for n in names])
+        padded = np.zeros((len(names), int(sizes.max())), np.uint8)
+        padded[np.arange(padded.shape[1])[None, :] < sizes[:, None]] = np.frombuffer(b"".join(names), np.uint8)
+        state, number = np.zeros(len(names), np.uint64), np.arange(len(names))
+        keys, entries = [], []
+        # All prefixes of a length at once; a prefix that is a piece itself has the piece's number.
+        for i in range(padded.shape[1]):
+            left = sizes[number] > i
+            state, number = _hash(state[left], padded[number[left], i]), number[left]
+            ends = sizes[number] == i + 1
+            keys += [state[ends], state[~ends]]
+            entries += [number[ends], np.full(int((~ends).sum()), -1)]
+        keys, entries = np.concatenate(keys), np.concatenate(entries)
+        order = np.lexsort((-entries, keys))
+        first = np.ones(len(order), bool)
+        first[1:] = keys[order][1:] != keys[order][:-1]
+        self.prefixes, self.entry = keys[order][first], entries[order][first]
+        # The first two bytes are looked up in tables.
+        singles = _hash(np.zeros(256, np.uint64), np.arange(256))
+        pairs = _hash(np.repeat(singles, 256), np.tile(np.arange(256), 256))
+        self.first_states = (singles, pairs)
+        self.first_entries = tuple(self._entries(states) for states in self.first_states)
         self.longest = max(map(len, whole))
         self.clear()
 
+    def _entries(self, states: np.ndarray) -> np.ndarray:
+        """Number of the piece that each prefix is, -1 where it is only a prefix, -2 where it is none."""
+        at = np.minimum(np.searchsorted(self.prefixes, states), len(self.prefixes) - 1)
+        return np.where(self.prefixes[at] == states, self.entry[at], -2)
+
     def clear(self) -> None:
         self.known = np.zeros(0, np.uint64)  # sorted unit hashes
         self.unit_node = np.zeros(0, np.int64)  # first node of each, in that order
@@ -177,10 +194,16 @@ class Lattices:
             node, state = node[keep], state[keep]
             if not len(node):
                 break
-            state = _hash(state, byte[node + size - 1])
-            at = np.minimum(np.searchsorted(self.prefixes, state), len(self.prefixes) - 1)
-            keep = self.prefixes[at] == state
-            node, state, entry = node[keep], state[keep], self.entry[at[keep]]
+            if size <= 2:
+                code = byte[node].astype(np.int64) if size == 1 else byte[node].astype(np.int64) * 256 + byte[node + 1]
+                entry = self.first_entries[size - 1][code]
+                keep = entry > -2
+                node, entry, state = node[keep], entry[keep], self.first_states[size - 1][code[keep]]
+            else:
+                state = _hash(state, byte[node + size - 1])
+                entry = self._entries(state)
+                keep = entry > -2
+                node, state, entry = node[keep], state[keep], entry[keep]
             hit = entry >= 0
             found.append((node[hit], np.full(int(hit.sum()), size), entry[hit]))
         starts_here, size, piece = (np.concatenate(x) for x in zip(*found))
@@ -198,8 +221,9 @@ class Lattices:
         weight = self.alpha * np.where(piece >= 0, self.vocabulary.scores[piece], worst * (size + 1))
         # Log-sum of all ways to the end, from the last position back.
         back = np.zeros(n)
-        by_left = np.argsort(left[starts_here], kind="stable")
-        cuts = np.searchsorted(left[starts_here][by_left], np.arange(1, int(sizes.max()) + 2))
+        far = left[starts_here]
+        by_left = np.argsort(far.astype(np.int16) if len(far) and far.max() < 1 << 15 else far, kind="stable")
+        cuts = np.searchsorted(far[by_left], np.arange(1, int(sizes.max()) + 2))
         for d in range(len(cuts) - 1):
             edges = by_left[cuts[d] : cuts[d + 1]]
             if len(edges):
@@ -249,7 +273,7 @@ class Lattices:
             return who[:0], at[:0], at[:0]
         step = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
         who, at, edge = (np.concatenate(x) for x in zip(*out))
-        order = np.argsort(who * len(out) + step)
+        order = np.argsort(who * len(out) + step, kind="stable")  # merges the steps, each of which is in order
         return who[order], at[order], edge[order]
 
 
