@@ -511,4 +511,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if ids is None else decode_ids(vocabulary, ids).decode(errors="replace") for ids in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], names=["text", *batch.schema.names[1:]])
 
-    return encoded.select("ids", *[f"`{c}`" for c in others]).mapInArrow(run, ", ".join(["text string", *[f"`{c}` {kinds[c]}" for c in others]]))
+    # Plain names on the way: a name with a dot can't be passed to a map.
+    renamed = encoded.select("ids", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    found = renamed.mapInArrow(run, ", ".join(["text string", *[f"c{i} {kinds[c]}" for i, c in enumerate(others)]]))
+    return found.select("text", *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)])
