@@ -8,7 +8,9 @@ with the corpus as the source of probabilities, the pointwise mutual information
 from ``REMOVE`` on they are removed, in every text that holds them. Counts are of documents, whole texts all of them.
 A word must stand with the entity in two different contexts: a single context,
 however often it is copied, says nothing about what belongs together. A document is one context, and its
-copies are the same: texts that ``near_dedup`` links by their different words, however edits are scattered.
+copies are the same: texts that ``near_dedup`` links by half of their pairs of neighbouring words, so that edits scattered over
+a copy leave it a copy. Only words and entities that stand in two contexts each are paired; a document's pairs are made
+block by block, so that a directory page with thousands of entities is no single task's work.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ from gleaner.llm.text import Words, pieces
 
 KINDS = ("email", "ip", "card", "phone", "term")
 GENERALISE, REMOVE = 0.5, 0.8
-#: Copies of a document share 75% of their different runs of so many words.
-COPY_WORDS = 1
+#: Copies of a document share so many percent of their different runs of so many words: edits that are scattered over a copy
+#: leave it one, while long texts of one subject share words but not what follows what.
+COPY_WORDS, COPY_PERCENT = 2, 50
+#: Entities and words of a document that are paired in one row's work; a document with more of both is dealt to several tasks.
+ENTITY_BLOCK, TERM_BLOCK = 64, 1024
 #: Words shipped to every task (8 bytes each), for counting and for finding them again; beyond it they are joined. Also the most
 #: entities, and the most places of words, that are broadcast.
 SHIPPED = 500_000
@@ -226,9 +231,15 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id.cast("long"), text.cast("string"))
 
 
+def _blocks(column: str, size: int) -> Column:
+    """The array in slices of ``size``; an empty one has none."""
+    starts = F.when(F.size(column) > 0, F.sequence(F.lit(1), F.size(column), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(column, i, F.lit(size)))
+
+
 def _contexts(held: DataFrame) -> DataFrame:
     """``key, context``: a context is a document with all its copies, exact and near."""
-    copies = near_duplicates(held.select(F.col("key").alias("doc_id"), "text"), COPY_WORDS)
+    copies = near_duplicates(held.select(F.col("key").alias("doc_id"), "text"), COPY_WORDS, COPY_PERCENT)
     return copies.select(F.col("doc_id").alias("key"), F.col("component_id").alias("context"))
 
 
@@ -241,7 +252,8 @@ def find(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     found = scratch.save(texts.mapInArrow(_find, _FOUND), "found")
     telling = _telling(texts, found, scratch)
     none = scratch.spark.createDataFrame([], "key long, extra array<struct<start:int,kind:int,end:int,removed:boolean>>")
-    if telling is None:
+    n_telling = telling.count() if telling is not None else 0
+    if not n_telling:
         return found, none
     # The most frequent telling words are shipped, so that the others are rare where they are joined.
     bytes_of = texts.select("key", F.col("text").cast("binary").alias("text"))
@@ -251,7 +263,7 @@ def find(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         order = np.argsort(first.column("term").to_numpy())
         wanted, removed = first.column("term").to_numpy()[order], first.column("removed").to_numpy(zero_copy_only=False)[order]
     places = bytes_of.mapInArrow(_places(wanted, removed), _PLACES) if len(wanted) else None
-    if telling.count() > len(wanted):
+    if n_telling > len(wanted):
         bits = key_filter(telling.select(F.col("term").alias("key")))
         others = bytes_of.mapInArrow(_places(wanted, None, bits), _PLACES).drop("removed").join(telling.select("term", "removed"), "term")
         others = others.select("key", "term", "start", "end", "removed")
@@ -280,11 +292,22 @@ def _telling(texts: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
     held = scratch.save(held, "held")
     contexts = scratch.save(_contexts(held), "contexts")
     named = held.join(contexts, "key").select("text", "base", "entities", "repeated", "context")
-    named = named.mapInArrow(_terms, "terms array<long>, entities array<long>, repeated long, context long")
-    pairs = named.select(F.explode("entities").alias("entity"), "terms", "repeated", "context").select("entity", F.explode("terms").alias("term"), "repeated", "context")
-    joint = pairs.groupBy("entity", "term").agg(F.sum("repeated").alias("n_joint"), F.min("context").alias("low"), F.max("context").alias("high"))
+    named = scratch.save(named.mapInArrow(_terms, "terms array<long>, entities array<long>, repeated long, context long"), "named")
+
+    def in_two_contexts(column: str) -> DataFrame:
+        """What stands in two contexts at all; nothing else can do so with an entity."""
+        each = named.select(F.explode(column).alias("x"), "context").groupBy("x").agg(F.min("context").alias("low"), F.max("context").alias("high"))
+        kept = scratch.save(each.filter("low < high").select("x"), f"two-{column}")
+        return F.broadcast(kept) if kept.count() <= SHIPPED else kept
+
+    blocks = named.select(F.explode(_blocks("entities", ENTITY_BLOCK)).alias("entities"), "terms", "repeated", "context")
+    blocks = blocks.select("entities", F.explode(_blocks("terms", TERM_BLOCK)).alias("terms"), "repeated", "context")
+    blocks = blocks.repartition("context", F.get("entities", F.lit(0)), F.get("terms", F.lit(0)))
+    pairs = blocks.select("entities", F.explode("terms").alias("x"), "repeated", "context").join(in_two_contexts("terms"), "x", "left_semi")
+    pairs = pairs.select(F.col("x").alias("term"), F.explode("entities").alias("x"), "repeated", "context").join(in_two_contexts("entities"), "x", "left_semi")
+    joint = pairs.groupBy(F.col("x").alias("entity"), "term").agg(F.sum("repeated").alias("n_joint"), F.min("context").alias("low"), F.max("context").alias("high"))
     pairs = scratch.save(joint.filter("low < high").select("entity", "term", "n_joint"), "pairs")
-    scratch.drop("owners", "held", "contexts")
+    scratch.drop("owners", "held", "contexts", "named", "two-terms", "two-entities")
     terms = scratch.save(pairs.select("term").distinct(), "terms")
     n_terms = terms.count()
     if not n_terms:
