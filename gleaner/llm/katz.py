@@ -318,28 +318,28 @@ def _ask(hot: np.ndarray, values: np.ndarray, bits: np.ndarray, buckets: int):
     return run
 
 
-_ANSWER = "piece long, row int, score double, base double, known long, doc_id long, held_out boolean, n_tokens long"
-_ANSWER_TYPES = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+_ANSWER = "piece long, rows binary, score binary, base binary, known binary, doc_ids binary, held binary, tokens binary"
+_ANSWER_TYPES = [pa.int64(), *[pa.binary()] * 7]
+_TOTAL = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
 def _answer(key, asked, table):
-    """One bucket's sums for the rows of each piece, and the pieces' own rows."""
+    """One bucket's sums for the rows of each piece, packed into a row a piece, and the pieces' own rows."""
     order = np.argsort(table.column("key").to_numpy().astype(np.uint64)) if table.num_rows else np.zeros(0, int)
     keys = table.column("key").to_numpy().astype(np.uint64)[order] if len(order) else np.zeros(0, np.uint64)
     values = [table.column(c).to_numpy()[order] for c in ("score", "base", "known")] if len(order) else []
     out = []
 
-    def give(piece, *columns):
-        out.append([pa.array(np.full(len(columns[0]), piece, np.int64)), *columns])
+    def give(piece, rows, score, base, known, *others):
+        packed = (rows.astype(np.int32), score.astype(np.float64), base.astype(np.float64), known.astype(np.int64), *others)
+        out.append((piece, *[x.tobytes() for x in packed], *[None] * (3 - len(others))))
 
     for i in range(asked.num_rows):
         piece, own, first, second, third = (asked.column(c)[i].as_py() for c in ("piece", "own", "keys", "counts", "rows"))
         if own:
-            doc_id = np.frombuffer(first, np.int64)
+            doc_id, held = np.frombuffer(first, np.int64), np.frombuffer(third, np.int8)
             tokens, known, score, base = np.frombuffer(second, np.float64).reshape(4, len(doc_id))
-            held = np.frombuffer(third, np.int8)  # 2: without id
-            give(piece, pa.array(np.arange(len(doc_id), dtype=np.int32)), pa.array(score), pa.array(base), pa.array(known.astype(np.int64)),
-                 pa.array(doc_id, mask=held == 2), pa.array(held > 0), pa.array(tokens.astype(np.int64)))
+            give(piece, np.arange(len(doc_id)), score, base, known, doc_id, held, tokens.astype(np.int64))
             continue
         wanted = np.frombuffer(first, np.uint64)
         counts = np.frombuffer(second, np.uint8 if len(second) == len(wanted) else np.uint32)
@@ -351,12 +351,27 @@ def _answer(key, asked, table):
         rows = rows[np.repeat(hit, counts)].astype(np.int64)
         places = np.repeat(at[hit], counts[hit])
         present = np.unique(rows)
-        sums = [np.bincount(rows, value[places])[present] for value in values]
-        nothing = [pa.nulls(len(present), t) for t in _ANSWER_TYPES[5:]]
-        give(piece, pa.array(present.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64)), *nothing)
+        give(piece, present, *[np.bincount(rows, value[places])[present] for value in values])
     names = [c.split(" ")[0] for c in _ANSWER.split(", ")]
-    batches = [pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(x, _ANSWER_TYPES)], names=names) for x in out]
-    return pa.Table.from_batches(batches, pa.schema(list(zip(names, _ANSWER_TYPES))))
+    columns = list(zip(*out)) if out else [()] * len(names)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, _ANSWER_TYPES)], names=names)
+
+
+def _total(table):
+    """All answers to one piece, and its own row -> its texts."""
+    own = next(i for i in range(table.num_rows) if table.column("doc_ids")[i].is_valid)
+    doc_id, held, tokens = (np.frombuffer(table.column(c)[own].as_py(), t) for c, t in (("doc_ids", np.int64), ("held", np.int8), ("tokens", np.int64)))
+    sums = {"score": np.zeros(len(doc_id)), "base": np.zeros(len(doc_id)), "known": np.zeros(len(doc_id), np.int64)}
+    # In a fixed order, so that the sums are the same in every run.
+    packed = sorted((table.column("rows")[i].as_py(), i) for i in range(table.num_rows))
+    for rows, i in packed:
+        at = np.frombuffer(rows, np.int32)
+        for name, total in sums.items():
+            total[at] += np.frombuffer(table.column(name)[i].as_py(), total.dtype)
+    return pa.table({
+        "doc_id": pa.array(doc_id, mask=held == 2), "held_out": pa.array(held > 0), "n_tokens": pa.array(tokens),
+        "n_known": pa.array(sums["known"]), "base": pa.array(sums["base"]), "score": pa.array(sums["score"]),
+    })
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -383,10 +398,7 @@ def score(docs: DataFrame) -> DataFrame:
     high = F.shiftrightunsigned("key", 32)
     stored = table.select(F.shiftrightunsigned(high * buckets, 32).cast("int").alias("bucket"), "key", "score", "base", "known")
     parts = asked.groupBy("bucket").cogroup(stored.groupBy("bucket")).applyInArrow(_answer, _ANSWER)
-    sums = parts.groupBy("piece", "row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"),
-    )
+    sums = parts.groupBy("piece").applyInArrow(_total, _TOTAL)
     return sums.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(constants["total"])).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("n_tokens") * constants["unseen_base"]).alias("base_score"),
