@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gleaner.operators import scores as S
@@ -175,18 +177,90 @@ def corner_subsets(spark, sf):
     return _subsets(spark, sf, search.corner_candidates(spark, METHODS), 40)
 
 
-@query("search_generation")
-def search_generation(spark, sf):
-    """One generation drawn around the corners' best candidates, evaluated to subsets."""
+#: Size of a generation, and its parents.
+POPSIZE, PARENTS = 20, 10
+
+#: The first generation: equal weights plus 0.3 times normal draws from hashes.
+_UNIT = "((('0x' || substr(md5('0:0:' || i || ':{j}:{k}'), 1, 8))::UBIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+_DRAWS = ", ".join(
+    f"1 / 3.0::DOUBLE + 0.3::DOUBLE * sqrt(-2 * ln({_UNIT.format(j=j, k=1)})) * cos(2 * pi() * {_UNIT.format(j=j, k=2)}) AS {w}" for j, w in enumerate("ans")
+)
+_DRAWN = f"SELECT i::INTEGER AS cand, {_DRAWS} FROM range({POPSIZE}) t(i)"
+_PROJECTED = f"""SELECT cand, CASE WHEN t > 0 THEN greatest(a, 0) / t ELSE 1 / 3.0::DOUBLE END AS a, CASE WHEN t > 0 THEN greatest(n, 0) / t ELSE 1 / 3.0::DOUBLE END AS n,
+    CASE WHEN t > 0 THEN greatest(s, 0) / t ELSE 1 / 3.0::DOUBLE END AS s FROM (SELECT *, greatest(a, 0) + greatest(n, 0) + greatest(s, 0) AS t FROM ({_DRAWN}))"""
+
+
+def _first_generation(spark, sf):
+    """(candidates, their subsets, fitness = mean spend of the subset)."""
     known = S.rank_normalize(scores(spark, sf))
-    corners = search.corner_candidates(spark, METHODS)
+    state = search.SearchState.start(len(METHODS))
+    candidates = search.candidate_table(spark, METHODS, search.sample_generation(state, POPSIZE, seed=0), state.gen)
+    found = search.evaluate_population(known, candidates, 40, decimals=9)
     spend = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("item_id")).agg(F.sum("o_totalprice").alias("value"))
-    rated = search.evaluate_population(known, corners, 40).join(spend, "item_id").groupBy("gen", "cand").agg(F.avg("value").alias("fitness"))
-    parents = search.parents_of(corners.join(rated, ["gen", "cand"]), METHODS, 2)
+    rated = found.join(spend, "item_id").groupBy("gen", "cand").agg(F.avg("value").alias("fitness"))
+    return candidates, found, rated
+
+
+@query("search_generation", _sql_population(_PROJECTED, 40))
+def search_generation(spark, sf):
+    """The first whole generation, drawn and evaluated to subsets."""
+    found = _first_generation(spark, sf)[1]
+    return found.select("cand", "rank", "item_id", r6("score").alias("score"))
+
+
+def _sql_update() -> str:
+    """Mean, step size and trace of the covariance after one generation, from the tutorial's formulas."""
+    n, mu = 3, PARENTS
+    raw = [math.log(mu + 0.5) - math.log(i) for i in range(1, mu + 1)]
+    share = [x / sum(raw) for x in raw]
+    eff = 1 / sum(x * x for x in share)
+    cs, cc = (eff + 2) / (n + eff + 5), (4 + eff / n) / (n + 4 + 2 * eff / n)
+    c1 = 2 / ((n + 1.3) ** 2 + eff)
+    cmu = min(1 - c1, 2 * (eff - 2 + 1 / eff) / ((n + 2) ** 2 + eff))
+    damps = 1 + cs + 2 * max(0.0, math.sqrt((eff - 1) / (n + 1)) - 1)
+    chi = math.sqrt(n) * (1 - 1 / (4 * n) + 1 / (21 * n * n))
+    subsets = _sql_population(_PROJECTED, 40)
+    return f"""WITH subsets AS ({subsets}),
+    spend AS (SELECT o_custkey AS item_id, sum(o_totalprice) AS value FROM orders GROUP BY 1),
+    rated AS (SELECT cand, avg(value) AS fitness FROM subsets JOIN spend USING (item_id) GROUP BY 1),
+    placed AS (SELECT cand, row_number() OVER (ORDER BY fitness DESC, cand) AS r FROM rated),
+    parents AS (SELECT d.a, d.n, d.s, ([{", ".join(map(repr, share))}]::DOUBLE[])[r] AS w FROM placed JOIN ({_DRAWN}) d USING (cand) WHERE r <= {mu}),
+    y AS (SELECT w, [(a - 1 / 3.0::DOUBLE) / 0.3::DOUBLE, (n - 1 / 3.0::DOUBLE) / 0.3::DOUBLE, (s - 1 / 3.0::DOUBLE) / 0.3::DOUBLE] AS z FROM parents),
+    m AS (SELECT [sum(w * z[1]), sum(w * z[2]), sum(w * z[3])] AS step, sum(w * list_inner_product(z, z)) AS spread FROM y),
+    p AS (SELECT step, spread, list_inner_product(step, step) AS ss, sqrt({cs * (2 - cs) * eff!r}::DOUBLE * list_inner_product(step, step)) AS len FROM m),
+    h AS (SELECT *, CASE WHEN len / {math.sqrt(1 - (1 - cs) ** 2)!r}::DOUBLE < {(1.4 + 2 / (n + 1)) * chi!r}::DOUBLE THEN 1 ELSE 0 END AS moving FROM p)
+    SELECT 1 AS gen, unnest(['acctbal', 'n_orders', 'spend']) AS method, round(unnest(list_transform(step, lambda x: 1 / 3.0::DOUBLE + 0.3::DOUBLE * x)), 6) + 0.0 AS mean,
+      round(greatest(0.3::DOUBLE * exp({cs / damps!r}::DOUBLE * (len / {chi!r}::DOUBLE - 1)), 0.02::DOUBLE), 6) + 0.0 AS sigma,
+      round((1 - {c1 + cmu!r}::DOUBLE + {c1 * cc * (2 - cc)!r}::DOUBLE * (1 - moving)) * 3 + {c1 * cc * (2 - cc) * eff!r}::DOUBLE * moving * ss + {cmu!r}::DOUBLE * spread, 6) + 0.0 AS trace
+    FROM h"""
+
+
+@query("search_update", _sql_update())
+def search_update(spark, sf):
+    """The search distribution after the first generation and its diagnostics, from the ten fittest of twenty."""
+    candidates, _, rated = _first_generation(spark, sf)
+    parents = search.parents_of(candidates.join(rated, ["gen", "cand"]), METHODS, PARENTS)
     state = search.update_state(search.SearchState.start(len(METHODS)), parents)
-    weights = search.sample_generation(state, 6, seed=0)
-    found = search.evaluate_population(known, search.candidate_table(spark, METHODS, weights, state.gen), 40)
-    return found.select("gen", "cand", "rank", "item_id", r6("score").alias("score"))
+    facts = search.state_diagnostics(state)
+    rows = [(facts["gen"], m, float(x), facts["sigma"], facts["trace"]) for m, x in zip(METHODS, state.mean)]
+    out = spark.createDataFrame(rows, "gen int, method string, mean double, sigma double, trace double")
+    return out.select("gen", "method", *[r6(c).alias(c) for c in ("mean", "sigma", "trace")])
+
+
+@query("search_refined", f"""WITH subsets AS ({_sql_population(_PROJECTED, 40)}), o AS (SELECT o_custkey AS item_id, sum(o_totalprice) AS spend, count(*) AS orders FROM orders GROUP BY 1),
+    rated AS (SELECT cand, avg(spend) AS fitness, avg(spend / orders) AS again FROM subsets JOIN o USING (item_id) GROUP BY 1),
+    best AS (SELECT row_number() OVER (ORDER BY fitness DESC, cand) - 1 AS cand, again FROM rated ORDER BY fitness DESC, cand LIMIT 8)
+    SELECT cand::INTEGER AS cand, round(again, 4) + 0.0 AS fitness, row_number() OVER (ORDER BY again DESC, cand) AS rank FROM best ORDER BY rank LIMIT 3""")
+def search_refined(spark, sf):
+    """The eight fittest candidates of a generation rated again by another measure, of which three are kept."""
+    candidates, _, rated = _first_generation(spark, sf)
+    each = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("item_id")).agg((F.sum("o_totalprice") / F.count(F.lit(1))).alias("value"))
+
+    def again(selection, _):
+        return selection.join(each, "item_id").groupBy("gen", "cand").agg(F.avg("value").alias("fitness"))
+
+    _, best = search.refine(S.rank_normalize(scores(spark, sf)), candidates.join(rated, ["gen", "cand"]), METHODS, 40, again)
+    return best.select("cand", (F.round("fitness", 4) + 0.0).alias("fitness"), "rank")
 
 
 def evals(spark, sf):

@@ -74,6 +74,44 @@ def test_search_resumes_to_the_same_state(spark, scored, tmp_path):
     assert best == sorted(best)
 
 
+def test_a_crash_in_a_generation_leaves_no_rows_twice(spark, scored, tmp_path):
+    """The search stops while a generation is rated, and again after it is stored; the history ends up the same."""
+    _, scores = scored
+    calls = []
+
+    def fitness(selection, candidates):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return selection.groupBy("gen", "cand").agg(F.avg(-F.abs(F.col("item_id") - 20.0)).alias("fitness"))
+
+    args = dict(budget=5, fitness=fitness, popsize=4, mu=2, seed=1, generations=3)
+    with pytest.raises(RuntimeError):
+        search.search_weights(scores, METHODS, path=str(tmp_path / "h"), **args)
+    found = search.search_weights(scores, METHODS, path=str(tmp_path / "h"), **args)
+    again = spark.createDataFrame(found.evals.filter("gen = 1").collect(), found.evals.schema)
+    search.append_generation(again, str(tmp_path / "h"))
+    whole = search.search_weights(scores, METHODS, path=str(tmp_path / "whole"), **args)
+    rows = [sorted((r.gen, r.cand, round(r.fitness, 9)) for r in spark.read.parquet(str(tmp_path / n)).collect()) for n in ("h", "whole")]
+    assert rows[0] == rows[1] and len(rows[0]) == 4 + 3 * 4
+    stored = spark.read.parquet(str(tmp_path / "h_states")).orderBy("gen").collect()
+    assert [r.gen for r in stored] == [1, 2, 3] and stored[-1].sigma == pytest.approx(whole.state.sigma)
+
+
+def test_refined_candidates_are_rated_again(spark, scored, tmp_path):
+    _, scores = scored
+
+    def near(goal):
+        return lambda selection, _: selection.groupBy("gen", "cand").agg(F.avg(-F.abs(F.col("item_id") - goal)).alias("fitness"))
+
+    run = search.search_weights(scores, METHODS, 5, near(20.0), str(tmp_path / "r"), popsize=4, mu=2, generations=1, refine_fitness=near(3.0), refined=5, kept=2)
+    best = run.best.orderBy("rank").collect()
+    stored = run.evals.filter(F.col("gen") == search.REFINED).collect()
+    assert len(stored) == 5 and [r.fitness for r in best] == sorted((r.fitness for r in stored), reverse=True)[:2]
+    first = search.top_k(run.evals.filter(F.col("gen") != search.REFINED), 5).orderBy("rank").collect()
+    assert [r.weights for r in sorted(stored, key=lambda r: r.cand)] == [r.weights for r in first]
+
+
 # ------------------------------------------------------------------ readers and writers
 
 
