@@ -75,6 +75,10 @@ class Vocabulary:
         narrow = (first < 0x80) & (second < 0x80)
         table = np.zeros((128, 128), bool)
         table[first[narrow], second[narrow]] = True
+        widths = np.array([len(t) for t in self.texts])
+        object.__setattr__(self, "flat", np.frombuffer(b"".join(self.texts), np.uint8))
+        object.__setattr__(self, "widths", widths)
+        object.__setattr__(self, "places", np.cumsum(widths) - widths)
         # Neighbours inside pieces: a table for single bytes, sorted pairs for others.
         object.__setattr__(self, "near", table)
         object.__setattr__(self, "near_wide", np.unique((first[~narrow] << np.uint64(32)) | second[~narrow]))
@@ -431,21 +435,6 @@ def sample_piece(lattices: Lattices, data: np.ndarray, offsets: np.ndarray, seed
     return [(paths[r], max((x[0] for x in opened[r]), default=-np.inf)) for r in range(rows)]
 
 
-def _ids(lattices: Lattices, path: _Path, data: np.ndarray) -> np.ndarray:
-    vocabulary = lattices.vocabulary
-    piece, size = lattices.edge_piece[path.edges], lattices.edge_size[path.edges]
-    ids = vocabulary.ids[piece]
-    bare = piece < 0
-    if not bare.any():
-        return ids
-    count = np.where(bare, size, 1)
-    out, at = np.repeat(ids, count), np.repeat(np.cumsum(size) - size, count)
-    at += np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count)
-    bare = np.repeat(bare, count)
-    out[bare] = vocabulary.bytes_ids[data[at[bare]]]
-    return out
-
-
 def decode_ids(vocabulary: Vocabulary, ids) -> bytes:
     texts = vocabulary.texts
     return b"".join([texts[i] for i in ids])
@@ -469,21 +458,52 @@ def _sample(vocabulary: Vocabulary, k: int, alpha: float):
 
 
 def _batch(lattices: Lattices, data: np.ndarray, offsets: np.ndarray, doc_ids: list, found: list, rows: range) -> pa.RecordBatch:
-    columns: list[list] = [[], [], [], [], [], []]
-    for r in rows:
-        paths, outside = found[r]
-        text = data[offsets[r] : offsets[r + 1]]
-        for number, path in enumerate(paths):
-            ids = _ids(lattices, path, text)
-            log = float(lattices.edge_log[path.edges].sum())
-            with np.errstate(divide="ignore", over="ignore"):
-                far = log - outside
-                inclusion = 0.0 if outside == -np.inf else float(np.log(-np.expm1(-np.exp(far)))) if far > -30 else far
-            exact = decode_ids(lattices.vocabulary, ids.tolist()) == text.tobytes()
-            for column, value in zip(columns, (doc_ids[r], number + 1, ids.astype(np.int32), round(log, 9), round(inclusion, 6), exact)):
-                column.append(value)
-    types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split(" ")[0] for c in _SAMPLES.split(", ")])
+    """The samples of some texts: all their paths are written as ids, and decoded again, at once."""
+    vocabulary = lattices.vocabulary
+    owner = np.array([r for r in rows for _ in found[r][0]], np.int64)
+    paths = [path for r in rows for path in found[r][0]]
+    outside = np.array([found[r][1] for r in owner.tolist()])
+    steps = np.concatenate(([0], np.cumsum([len(p.edges) for p in paths])))
+    edges = np.concatenate([p.edges for p in paths])
+    piece, size = lattices.edge_piece[edges], lattices.edge_size[edges].astype(np.int64)
+    bare = piece < 0
+    count = np.where(bare, size, 1)
+    ids = np.repeat(vocabulary.ids[piece], count)
+    upto, tokens = (np.concatenate(([0], np.cumsum(x))) for x in (size, count))
+    if bare.any():
+        # Where in the texts each step starts, and each byte of a step without a piece.
+        start = upto[:-1] - np.repeat(upto[steps[:-1]], np.diff(steps)) + np.repeat(offsets[owner], np.diff(steps))
+        at = np.repeat(start, count) + np.arange(len(ids)) - np.repeat(tokens[:-1], count)
+        single = np.repeat(bare, count)
+        ids[single] = vocabulary.bytes_ids[data[at[single]]]
+    log = np.zeros(len(paths))
+    some = np.flatnonzero(np.diff(steps))
+    if len(some):
+        log[some] = np.add.reduceat(lattices.edge_log[edges], steps[some])
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        far = log - outside
+        inclusion = np.where(np.isneginf(outside), 0.0, np.where(far > -30, np.log(-np.expm1(-np.exp(np.minimum(far, 700.0)))), far))
+    bounds = tokens[steps]
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+    columns = [
+        pa.array([doc_ids[r] for r in owner.tolist()], pa.int64()), pa.array(np.concatenate([np.arange(1, len(found[r][0]) + 1) for r in rows]), pa.int32()),
+        lists, pa.array(np.round(log, 9)), pa.array(np.round(inclusion, 6)), pa.array(_exact(vocabulary, ids, bounds, data, offsets, owner)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in _SAMPLES.split(", ")])
+
+
+def _exact(vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray, data: np.ndarray, offsets: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether each list of ids decodes to its text."""
+    width = vocabulary.widths[ids]
+    upto = np.concatenate(([0], np.cumsum(width)))
+    got, want = np.diff(upto[bounds]), np.diff(offsets)[owner]
+    decoded = vocabulary.flat[np.repeat(vocabulary.places[ids] - upto[:-1], width) + np.arange(int(upto[-1]))]
+    # Each list's bytes beside its text's, as far as the text goes.
+    first = upto[bounds[:-1]]
+    inside = np.arange(int(upto[-1])) - np.repeat(first, got)
+    text = np.minimum(np.repeat(offsets[owner], got) + inside, max(len(data) - 1, 0))
+    wrong = np.concatenate(([0], np.cumsum(decoded != data[text]))) if len(data) else np.zeros(int(upto[-1]) + 1, np.int64)
+    return (got == want) & (wrong[upto[bounds[1:]]] == wrong[first])
 
 
 def sample(docs: DataFrame, k: int = 2, alpha: float = ALPHA, seed: int = 8, model: str = MODEL) -> DataFrame:

@@ -84,3 +84,15 @@ def test_decode_replaces_text_and_keeps_other_columns(spark):
     ids = pieces.sample(docs, k=1).select("ids").first().ids
     back = pieces.decode(spark.createDataFrame([(ids, "old", 7), (None, "old", 8)], "ids array<int>, text string, `a.b` int"))
     assert back.columns == ["text", "a.b"] and sorted(map(tuple, back.collect()), key=lambda r: r[1]) == [("so -- it goes", 7), (None, 8)]
+
+
+def test_wrong_ids_are_not_called_exact(vocabulary):
+    by_text = {t: i for i, t in enumerate(vocabulary.texts) if t}
+    texts = [b"the cat", b"", b"a--b"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    one = [by_text[b"the"], by_text[b" c"], by_text[b"at"]]
+    lists = [one, one[:2], [*one, by_text[b"at"]], [by_text[b"the"], by_text[b" c"], by_text[b"it"]], [], [by_text[b"a"], by_text[b"--"], by_text[b"b"]]]
+    owner = np.array([0, 0, 0, 0, 1, 2])
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    got = pieces._exact(vocabulary, np.array([i for x in lists for i in x], np.int64), bounds, data, offsets, owner)
+    assert got.tolist() == [True, False, False, False, True, True]
