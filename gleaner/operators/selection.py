@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.functions.ordering import WINDOW_LIMIT, first_rows
+from gleaner.functions.ordering import WINDOW_LIMIT, first_rows, row_number
 from gleaner.functions.kernels import distances, id_values, matrix, nearest_distance, row_slices
 from gleaner.functions.vectors import hash_order, hash_uniform, l2_normalize, norm
 from gleaner.operators.aggregate import centroid_array, gram_array
@@ -46,7 +46,7 @@ from gleaner.operators.similarity import (
     sum_positive,
     with_similarity,
 )
-from gleaner.session import freeze
+from gleaner.session import discard, freeze, stored
 
 
 @dataclass
@@ -469,22 +469,24 @@ def rds_round_robin(pool: DataFrame, query: DataFrame, budget: int, **_) -> Sele
     picks: list[Pick] = []
     with cached_pool(pool) as data, cached_pool(queries, "query_id") as asking:
         count = asking.count()
+        turns = freeze(row_number(asking.select("query_id"), [F.asc("query_id")], name="turn"))
         turn = length = 0
         while len(picks) < budget:
             # As many items as picks are left always suffice; after a pass that ran out, read more.
             left = budget - len(picks)
             length = min(max(2 * -(-left // count) + 8, 4 * length), left, WINDOW_LIMIT)
-            lists = _best_lists(nearest_items(asking, data, length, exclude=[p.item for p in picks]))
-            if not lists:
-                break
-            taken = set()
+            lists = _BestLists(nearest_items(asking, data, length, exclude=[p.item for p in picks]), turns, count, length)
+            before, taken = len(picks), set()
             while len(picks) < budget:
-                best = next((c for c in lists[turn % count] if c[0] not in taken), None)
+                best = lists.best(turn % count, taken)
                 if best is None:
                     break
                 picks.append(Pick(best[0], None, best[1]))
                 taken.add(best[0])
                 turn += 1
+            lists.close()
+            if len(picks) == before:
+                break
     ranking = _ranking(pool, picks)
 
     def scores():
@@ -493,13 +495,46 @@ def rds_round_robin(pool: DataFrame, query: DataFrame, budget: int, **_) -> Sele
     return Selection(ranking, scores, "rds", len(picks))
 
 
-def _best_lists(found: DataFrame) -> list[list[tuple]]:
-    """Per query, in id order, its items from best to worst."""
-    table = found.orderBy("query_id", "position").toArrow()
-    query, items, sims = (id_values(table.column(c)) for c in ("query_id", "item_id", "sim"))
-    starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else []
-    ends = [*starts[1:], len(query)]
-    return [list(zip(items[a:b].tolist(), sims[a:b].tolist())) for a, b in zip(starts, ends)]
+#: Rows of best items that the driver looks at together.
+LIST_ROWS = 1_000_000
+
+
+class _BestLists:
+    """Each query's items from best to worst, stored as a table; the driver reads those of a block of queries at a time.
+
+    Queries take their turns in id order, so a block is read once a round. What stays on the driver is a place
+    in the list of each query.
+    """
+
+    def __init__(self, found: DataFrame, turns: DataFrame, count: int, length: int) -> None:
+        numbered = found.join(turns, "query_id").select((F.col("turn") - 1).alias("turn"), "position", "item_id", "sim")
+        self.found, self.path = stored(numbered)
+        self.size = max(LIST_ROWS // length, 1)
+        self.loaded = -1
+        self.at = np.zeros(count, dtype=np.int64)
+
+    def _load(self, block: int) -> None:
+        low = block * self.size
+        rows = self.found.filter((F.col("turn") >= low) & (F.col("turn") < low + self.size)).toArrow().sort_by([("turn", "ascending"), ("position", "ascending")])
+        self.items, self.sims = id_values(rows.column("item_id")), np.asarray(rows.column("sim"))
+        self.bounds = np.searchsorted(np.asarray(rows.column("turn")), np.arange(low, low + self.size + 1))
+        self.loaded = block
+
+    def best(self, query: int, taken: set) -> tuple | None:
+        """The query's best item that is not taken, with its similarity; None when its list has run out."""
+        if query // self.size != self.loaded:
+            self._load(query // self.size)
+        begin, end = self.bounds[query % self.size : query % self.size + 2]
+        while begin + self.at[query] < end:
+            place = begin + self.at[query]
+            item = self.items[place].item()
+            if item not in taken:
+                return item, float(self.sims[place])
+            self.at[query] += 1
+        return None
+
+    def close(self) -> None:
+        discard(self.found.sparkSession, self.path)
 
 
 # ------------------------------------------------------------------ gradient matching
@@ -609,6 +644,12 @@ def gradmatch_nnls(
     return Selection(ranking, lambda: _gain_scores(source, ranking), "gradmatch_nnls", len(picks))
 
 
+def leading_basis(pool_grads: DataFrame, rank: int) -> np.ndarray:
+    """Orthonormal columns that span the directions with most of the pool's energy; at most ``rank`` and as many as items."""
+    moment = gram_array(pool_grads)
+    return np.linalg.eigh(moment)[1][:, ::-1][:, : min(rank, _pool_budget(pool_grads, rank), len(moment))]
+
+
 @register("less", "pool_grads", "query_grads")
 def less_lowrank(pool_grads: DataFrame, query_grads: DataFrame, budget: int, rank: int = 50, **_) -> Selection:
     """Greedy matching of the mean query gradient in the leading subspace of the pool.
@@ -618,9 +659,7 @@ def less_lowrank(pool_grads: DataFrame, query_grads: DataFrame, budget: int, ran
     never projected or stored again.
     """
     with cached_pool(pool_grads) as data:
-        moment = gram_array(data)
-        n = _pool_budget(data, rank)
-        basis = np.linalg.eigh(moment)[1][:, ::-1][:, : min(rank, n, len(moment))]
+        basis = leading_basis(data, rank)
         aim = basis.T @ centroid_array(query_grads)
         longest = data.agg(F.max(norm(F.col("vec")))).first()[0]
         state = {"residual": aim}

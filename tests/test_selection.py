@@ -83,6 +83,14 @@ def test_round_robin_when_all_queries_want_the_same_items(spark, vectors):
     assert ranking(M.rds_round_robin(pool, query, 50)) == robin(x, y, 50)
 
 
+@pytest.mark.parametrize("rows", [1, 7, 40])
+def test_round_robin_reads_lists_block_by_block(spark, vectors, monkeypatch, rows):
+    monkeypatch.setattr(M, "LIST_ROWS", rows)
+    _, x, pool = vectors(60, 6, seed=9)
+    _, y, query = vectors(11, 6, seed=10)
+    assert ranking(M.rds_round_robin(pool, query, 35)) == robin(x, y, 35)
+
+
 def test_nonnegative_fit_against_all_supports():
     rng = np.random.default_rng(3)
     for _ in range(30):
