@@ -11,6 +11,19 @@ from gleaner.functions.ordering import first_rows, row_number, running_total
 from gleaner.session import freeze
 
 
+#: Rows of a table that are shipped to every task; a score counts as hot beyond this part of its method's items.
+SHIPPED, HOT_SHARE = 100_000, 1000
+
+
+def _is_small(df: DataFrame) -> bool:
+    return df.limit(SHIPPED + 1).count() <= SHIPPED
+
+
+def _shipped(df: DataFrame) -> DataFrame:
+    """A table of methods, shipped where its number of rows allows it."""
+    return F.broadcast(df) if _is_small(df) else df
+
+
 def rank_normalize(scores: DataFrame, by: str = "method", id: str = "item_id", score: str = "score") -> DataFrame:
     """Best score 1, worst 0; equal scores share the mean of their positions.
 
@@ -23,12 +36,23 @@ def rank_normalize(scores: DataFrame, by: str = "method", id: str = "item_id", s
     small = sizes.filter(F.col("__n") < 2).select(by).head(1)
     if small:
         raise ValueError(f"rank normalisation needs at least two items ({small[0][0]!r})")
-    normal = placed.join(sizes, by).select(
+    normal = freeze(placed.join(_shipped(sizes), by).select(
         by,
         score,
         (1.0 - (F.col("__before") + (F.col("__ties") - 1) / 2.0) / (F.col("__n") - 1)).alias("__norm"),
-    )
-    return scores.join(normal, [by, score]).select(by, id, F.col("__norm").alias("score"))
+        (F.col("__ties") * HOT_SHARE > F.col("__n")).alias("__hot"),
+    ))
+    rows = scores.select(by, id, score)
+    if _is_small(normal):
+        found = rows.join(F.broadcast(normal), [by, score])
+    else:
+        # A score that many items share (zero, mostly) would be one task's work: at most HOT_SHARE scores a method are shipped.
+        hot = normal.filter("__hot").select(F.col(by).alias("__by"), F.col(score).alias("__score"), F.col("__norm").alias("__known"))
+        match = (F.col(by) == F.col("__by")) & (F.col(score) == F.col("__score"))
+        marked = rows.join(F.broadcast(hot), match, "left").drop("__by", "__score")
+        rest = marked.filter("__known IS NULL").drop("__known").join(normal.filter("NOT __hot"), [by, score])
+        found = marked.filter("__known IS NOT NULL").select(by, id, F.col("__known").alias("__norm")).unionByName(rest.select(by, id, "__norm"))
+    return found.select(by, id, F.col("__norm").alias("score"))
 
 
 def minmax_normalize(
@@ -42,7 +66,7 @@ def minmax_normalize(
         if flat:
             raise ValueError(f"constant scores cannot be scaled ({flat[0][0]!r})")
     scaled = F.when(span > 0, (F.col(score) - F.col("__lo")) / span).otherwise(F.lit(0.5))
-    return scores.join(spans, by).select(by, id, scaled.alias("score"))
+    return scores.join(_shipped(spans), by).select(by, id, scaled.alias("score"))
 
 
 def check_alignment(scores: DataFrame, by: str = "method", id: str = "item_id") -> DataFrame:

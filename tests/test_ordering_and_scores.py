@@ -116,3 +116,23 @@ def test_scores_from_positions(spark):
     rest = spark.createDataFrame([("a", 9.0), ("b", 4.0), ("c", 1.0)], "item_id string, value double")
     assert values(S.secondary_scores(rest, one, 2)) == {"b": 0.25, "c": 0.0625}
     assert values(S.secondary_scores(rest.withColumn("value", -F.col("value")), one, 2)) == {"b": 0.0, "c": 0.0}
+
+
+@pytest.mark.parametrize("shipped", [100_000, 3])
+def test_rank_normalising_with_a_score_that_most_items_share(spark, monkeypatch, shipped):
+    from gleaner.operators import scores as S
+
+    monkeypatch.setattr(S, "SHIPPED", shipped)
+    monkeypatch.setattr(S, "HOT_SHARE", 4)
+    rng = np.random.default_rng(1)
+    values = {"a": np.where(rng.uniform(size=200) < 0.8, 0.0, np.round(rng.normal(size=200), 1)), "b": rng.normal(size=150)}
+    rows = [(m, i, float(v)) for m, x in values.items() for i, v in enumerate(x)]
+    got = {(r.method, r.item_id): r.score for r in S.rank_normalize(spark.createDataFrame(rows, "method string, item_id long, score double").repartition(4)).collect()}
+    assert len(got) == len(rows)
+    for m, x in values.items():
+        order = np.argsort(-x, kind="stable")
+        place = np.empty(len(x))
+        place[order] = np.arange(len(x))
+        for v in set(x.tolist()):
+            same = x == v
+            assert all(got[m, i] == pytest.approx(1 - place[same].mean() / (len(x) - 1)) for i in np.flatnonzero(same).tolist())
