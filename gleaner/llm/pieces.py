@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.text import mix, pieces
+from gleaner.llm.text import mix, pieces, release
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Smoothing of the piece scores; the rank offset of Zipf's law that turns ranks into scores.
@@ -453,6 +453,9 @@ def _sample(vocabulary: Vocabulary, k: int, alpha: float):
                 found = sample_piece(lattices, data, offsets, mix(seeds), k)
                 for at in range(0, len(found), ROWS):
                     yield _batch(lattices, data, offsets, doc_ids, found, range(at, min(at + ROWS, len(found))))
+                found = None
+        lattices = batch = data = None
+        release()
 
     return run
 

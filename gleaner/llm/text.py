@@ -6,6 +6,9 @@ single bytes in UTF-8, so texts are cut as bytes and never decoded.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -30,6 +33,17 @@ _BASE = int(_random_words("base", 1)[0] | np.uint64(1))
 _SLOT = _random_words("slot", 64) | np.uint64(1)
 
 
+def release() -> None:
+    """Give memory that a finished task has freed back to the system.
+
+    Spark keeps Python workers for later tasks; what they hold on to would be missing to the executor.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit words (the public splitmix64 finalizer)."""
     x = x ^ (x >> np.uint64(30))
