@@ -39,7 +39,7 @@ from gleaner.session import discard, stored
 TIE_DECIMALS = 12
 
 #: Candidates brought back by one pass, and the bytes their vectors may take.
-CANDIDATES = 1024
+CANDIDATES = 4096
 CANDIDATE_BYTES = 32 << 20
 
 #: Picks after which the running state is written with the pool.
