@@ -16,6 +16,8 @@ NAMES = [
     "herding", "gradmatch_mp", "craig_fl", "orient_scores", "kmeans_scores", "random_select", "subject_mean", "gram_matrix",
     "rank_norm", "mix_lenient", "population_subsets", "site_vs_rest", "subset_profile", "stratified_split", "weighted_sample",
     "manifest", "slice_distribution", "zscore_case", "nearest_resize", "dice_regions", "ensemble_argmax", "best_of_last_n",
+    "kcenter_query_750", "diversity_cosine_750", "herding_250", "coreset_kcenter", "stream_rds_max", "fitness_median", "quantile_profile",
+    "search_history", "search_generation", "search_update", "search_refined", "lowrank_facts", "run_fitness",
 ]
 
 
